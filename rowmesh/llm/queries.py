@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowmesh.llm import simhash
+from rowmesh.llm import minhash, packing, simhash, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_minhash_fingerprints": minhash.op3_minhash_fingerprints,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op6_warc_bundles": warc.op6_warc_bundles,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op10_threshold_top_k": topk.op10_threshold_top_k,
 }
 ORACLE_SQL: dict[str, str] = {}
