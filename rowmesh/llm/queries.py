@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowmesh.llm import minhash, packing, simhash, topk, warc
+from rowmesh.llm import minhash, packing, simhash, substring, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_fingerprints": minhash.op3_minhash_fingerprints,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op5_substring_dedup": substring.op5_substring_dedup,
     "op6_warc_bundles": warc.op6_warc_bundles,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op10_threshold_top_k": topk.op10_threshold_top_k,
