@@ -64,24 +64,69 @@ def words(text: str | None) -> list[str]:
     return out
 
 
-def lattice(batch: list[str], number: dict[str, int]) -> np.ndarray:
-    """[word, end, length - 1]: the piece that ends there, one past the last piece for an uncovered character, or -1."""
-    wide = max(map(len, batch)) + 1
-    out = np.full((len(batch), wide + 1, PIECE), -1, np.int32)
-    get, other = number.get, len(number)
-    for k, w in enumerate(batch):
-        s = MARK + w
-        for end in range(1, len(s) + 1):
-            row = out[k, end]
-            for n in range(1, min(end, PIECE) + 1):
-                i = get(s[end - n : end])
-                if i is not None:
-                    row[n - 1] = i
-            if row[0] < 0:
-                row[0] = other
+class Pieces:
+    """Numbers of pieces by the hashes of their characters, looked up for whole arrays."""
+
+    BASE, BITS = np.uint64(0x9E3779B97F4A7C15), 20
+
+    def __init__(self, number: dict[str, int]) -> None:
+        self.other = len(number)
+        self.keys = np.array([*(int(self.hash(p)) for p in number), 0], np.uint64)
+        if len(np.unique(self.keys)) < len(self.keys):
+            raise ValueError("two pieces of one hash")
+        self.tables: list[tuple[np.uint64, np.ndarray]] = []
+        left = np.arange(self.other)
+        while len(left):  # what shares a slot goes to the next table
+            odd = np.uint64(0xD6E8FEB86659FD93 + 2 * 104729 * len(self.tables) ** 3)
+            slot = self._slot(self.keys[left], odd)
+            own, at = np.unique(slot, return_index=True)
+            table_ = np.full(1 << self.BITS, self.other, np.int32)
+            table_[own] = left[at]
+            self.tables.append((odd, table_))
+            left = np.delete(left, at)
+
+    def hash(self, piece: str) -> np.uint64:
+        h = np.zeros(1, np.uint64)
+        for c in piece:
+            h = h * self.BASE + np.uint64(ord(c) + 1)
+        return h[0]
+
+    def _slot(self, h: np.ndarray, odd: np.uint64) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(29))) * odd) >> np.uint64(64 - self.BITS)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash's piece, or -1."""
+        out = np.full(h.shape, -1, np.int32)
+        for odd, table_ in self.tables:
+            i = table_[self._slot(h, odd)]
+            np.copyto(out, i, where=self.keys[i] == h)
+        return out
+
+
+def lattice(batch: list[str], known: Pieces) -> np.ndarray:
+    """Of words of one length, [word, end, length - 1]: the piece that ends there, one past the last piece for an
+    uncovered character, or -1."""
+    size = len(batch[0]) + 1
+    code = np.frombuffer("".join([MARK + w for w in batch]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(batch), size).astype(np.uint64) + np.uint64(1)
+    out = np.full((len(batch), size + 1, PIECE), -1, np.int32)
+    h = np.zeros_like(code)
+    for n in range(1, min(size, PIECE) + 1):
+        h = h[:, : size - n + 1] * known.BASE + code[:, n - 1 :]
+        out[:, n:, n - 1] = known.find(h)
+    single = out[:, 1:, 0]
+    single[single < 0] = known.other
     return out
 
 
+def _alike(batch: list[str], most: int = 4096) -> Iterator[list[int]]:
+    """Places of the words, in groups of one length and bounded size."""
+    size = np.array([len(w) for w in batch])
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        for k in range(0, len(at), most):
+            yield at[k : k + most].tolist()
+
+
 def forward(paths: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """[word, end, language]: summed probability of all segmentations of each prefix. prob: [piece, language], with two
     more rows, the cost of an uncovered character and, last, zero."""
@@ -94,14 +139,11 @@ def forward(paths: np.ndarray, prob: np.ndarray) -> np.ndarray:
     return a
 
 
-def word_scores(batch: list[str], number: dict[str, int], prob: np.ndarray) -> np.ndarray:
+def word_scores(batch: list[str], known: Pieces, prob: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language."""
     out = np.empty((len(batch), prob.shape[1]))
-    order = sorted(range(len(batch)), key=lambda i: len(batch[i]))
-    for k in range(0, len(order), 2048):
-        part = order[k : k + 2048]
-        a = forward(lattice([batch[i] for i in part], number), prob)
-        out[part] = np.log(a[np.arange(len(part)), [len(batch[i]) + 1 for i in part]] + 1e-300)
+    for part in _alike(batch):
+        out[part] = np.log(forward(lattice([batch[i] for i in part], known), prob)[:, -1] + 1e-300)
     return out
 
 
@@ -110,25 +152,24 @@ def _rows(prob: np.ndarray) -> np.ndarray:
     return np.concatenate([prob, np.full((1, prob.shape[1]), _UNCOVERED), np.zeros((1, prob.shape[1]))])
 
 
-def expectation(batch: list[str], count: np.ndarray, number: dict[str, int], prob: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece over words with counts, under prob [piece, 1 or more languages] (count: the same)."""
-    used = np.zeros((len(number) + 2, prob.shape[1]))
-    order = sorted(range(len(batch)), key=lambda i: len(batch[i]))
-    for k in range(0, len(order), 2048):
-        part = order[k : k + 2048]
-        paths = lattice([batch[i] for i in part], number)
-        size = np.array([len(batch[i]) + 1 for i in part])
+def expectation(batch: list[str], count: np.ndarray, known: Pieces, prob: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece in each language over words with counts [word, language], under prob."""
+    used = np.zeros((known.other + 2) * prob.shape[1])
+    column = np.arange(prob.shape[1])
+    for part in _alike(batch):
+        paths = lattice([batch[i] for i in part], known)
         a = forward(paths, prob)
         b = np.zeros_like(a)
-        b[np.arange(len(part)), size] = 1
-        weight = count[part] / (a[np.arange(len(part)), size] + 1e-300)
+        b[:, -1] = count[part] / (a[:, -1] + 1e-300)
         for end in range(a.shape[1] - 1, 0, -1):
             for length in range(1, min(end, PIECE) + 1):
                 piece = paths[:, end, length - 1]
+                if (piece < 0).all():
+                    continue
                 through = b[:, end] * prob[piece]
                 b[:, end - length] += through
-                np.add.at(used, piece, a[:, end - length] * through * weight)
-    return used[: len(number)]
+                used += np.bincount(((piece % (known.other + 2))[:, None] * prob.shape[1] + column).ravel(), (a[:, end - length] * through).ravel(), len(used))
+    return used.reshape(-1, prob.shape[1])[: known.other]
 
 
 @dataclass
@@ -137,7 +178,7 @@ class Model:
 
     languages: list[str]
     prob: np.ndarray
-    number: dict[str, int]
+    known: Pieces
     cache: dict[str, int] = field(default_factory=dict, repr=False)
     rows: list[np.ndarray] = field(default_factory=list, repr=False)
 
@@ -149,10 +190,10 @@ class Model:
             self.cache.clear()
             self.rows = []
         counts = [Counter(words(t)) for t in texts]
-        new = list(set().union(*[c.keys() - self.cache.keys() for c in counts]))
+        new = list({w for c in counts for w in c if w not in self.cache})
         if new:
             self.cache.update(zip(new, range(len(self.cache), len(self.cache) + len(new))))
-            self.rows = [np.concatenate([*self.rows, word_scores(new, self.number, self.prob)])]
+            self.rows = [np.concatenate([*self.rows, word_scores(new, self.known, self.prob)])]
         names, scores = [], []
         for c in counts:
             if not c:
@@ -173,9 +214,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     rows = only(docs, key, text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows if use is None else rows.where(use)
     sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
-    number = pieces(path)
+    known = Pieces(pieces(path))
+    number = range(known.other)
     if not sizes:
-        return Model([], np.zeros((len(number) + 2, 0)), number)
+        return Model([], np.zeros((len(number) + 2, 0)), known)
     share = F.lit(0.0)
     for name, n in sizes.items():
         share = F.when(F.col(lang) == name, min(1.0, SAMPLE / n)).otherwise(share)
@@ -197,9 +239,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     prob = np.full((len(number), len(languages)), 1.0 / len(number))
     # Only each word's count under its own language matters: rounds run over all languages at once.
     for _ in range(ROUNDS if len(word) else 0):
-        used = expectation(word.tolist(), table_, number, _rows(prob)) + SMOOTH
+        used = expectation(word.tolist(), table_, known, _rows(prob)) + SMOOTH
         prob = used / used.sum(axis=0)
-    return Model(languages, _rows(prob), number)
+    return Model(languages, _rows(prob), known)
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowmesh.llm import minhash, packing, simhash, substring, topk, warc
+from rowmesh.llm import language, minhash, packing, quality, simhash, substring, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_fingerprints": minhash.op3_minhash_fingerprints,
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": substring.op5_substring_dedup,
     "op6_warc_bundles": warc.op6_warc_bundles,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_nb_svm_quality": quality.op8_nb_svm_quality,
+    "op9_unigram_language_id": language.op9_unigram_language_id,
     "op10_threshold_top_k": topk.op10_threshold_top_k,
 }
 ORACLE_SQL: dict[str, str] = {}
