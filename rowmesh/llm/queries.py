@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowmesh.llm import language, minhash, packing, quality, simhash, substring, topk, warc
+from rowmesh.llm import language, licenses, minhash, mixing, packing, quality, simhash, substring, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": licenses.op1_license_scan,
+    "op2_pareto_mixing": mixing.op2_pareto_mixing,
     "op3_minhash_fingerprints": minhash.op3_minhash_fingerprints,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_substring_dedup": substring.op5_substring_dedup,
@@ -18,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_unigram_language_id": language.op9_unigram_language_id,
     "op10_threshold_top_k": topk.op10_threshold_top_k,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.op1_sql(), "op2_pareto_mixing": mixing.OP2_SQL}
