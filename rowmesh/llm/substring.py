@@ -406,5 +406,23 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     return joined.mapInPandas(run, f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str | None = "n_chars", window: int = WINDOW) -> DataFrame:
+    """The documents with the words that repeated windows cover taken out of their texts, and ``size``, if they have such a
+    column, set to the new text's code points. Texts that lose nothing stay as they are."""
+    spans = repeated_spans(docs, key, text, window).select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("spans").alias("__spans"))
+    joined = docs.join(spans, (F.coalesce(F.col(key).cast("long"), F.lit(_NONE)) == F.col("__d")) & (F.xxhash64(text) == F.col("__t")), "left")
+
+    @F.pandas_udf("string")
+    def cut_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, all_spans in batches:
+            yield pd.Series([b" ".join(keep_words(utf8(t).split(), s)).decode("utf-8", "replace") if s is not None and len(s) else t for t, s in zip(texts, all_spans)], dtype="object")
+
+    changed = F.col("__spans").isNotNull()
+    out = joined.withColumn("__cut", cut_text(F.col(text), F.col("__spans"))).withColumn(text, F.col("__cut"))
+    if size in docs.columns:
+        out = out.withColumn(size, F.when(changed, F.char_length(text).cast(docs.schema[size].dataType)).otherwise(F.col(size)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
