@@ -4,8 +4,7 @@ Vectors are quantised to integers and dealt into blocks of bounded size. Within
 a list of the rows sorted by that component. A query reads the lists of its nonzero dimensions from the end that its sign
 favours, a stretch of rows at a time, scores what it meets for the first time in full, and stops once the threshold, the
 score of a row that would stand at the current depth of every list, is below its k-th best score so far (equal is not
-enough: a tie may have a smaller id). The k-th score carries over from block to block of one task. Blocks' answers are
-merged by a window over each query's k rows a block.
+enough: a tie may have a smaller id) or every row is scored. Blocks' answers are merged by a window over each query's k rows a block.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ EVERY = 20
 #: Rows of a block of candidates and of a block of queries.
 CANDIDATES = 1 << 15
 QUERIES = 1 << 13
-#: List entries read at a time in each dimension.
+#: List entries that the first reading takes of each dimension.
 STRETCH = 128
 
 
@@ -42,49 +41,53 @@ class Block:
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
         self.rows, self.ids, self.v = rows, ids, v
-        self.lists = np.argsort(v, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(v, self.lists.astype(np.int64), axis=0)
-        self.top = np.abs(v).max(initial=0)
-
-    def search(self, row: int, q: np.ndarray, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, scores) of the best k rows, ties to smaller ids; ``floor``: a score that k others reach already."""
-        n = len(self.ids)
-        dims = np.flatnonzero(q)
-        exact = np.float64 if float(np.abs(q).max(initial=0)) * float(self.top) * len(q) < 2**53 else object
-        qd = q.astype(exact)
+        self.lists = np.ascontiguousarray(np.argsort(v, axis=0, kind="stable").T.astype(np.int32))
+        self.sorted = np.sort(v, axis=0)
+        self.top = float(np.abs(v).max(initial=0))
+        self.kinds: dict[type, np.ndarray] = {}
+
+    def _as(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The query and the candidates in the narrowest type in which all sums are exact."""
+        most = float(np.abs(q).max(initial=0)) * self.top * len(q)
+        kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else object
+        if kind not in self.kinds:
+            self.kinds[kind] = self.v.astype(kind)
+        return q.astype(kind), self.kinds[kind]
+
+    def search(self, row: int, q: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+        """(positions, scores) of the best k rows other than the query's own, ties to smaller ids. Each reading of the
+        lists goes twice as deep as the one before, so it reads less than twice what it must."""
+        n, dims = len(self.ids), np.flatnonzero(q)
+        qd, v = self._as(q)
+        up = q[dims] > 0
         seen = np.zeros(n, bool)
-        own = np.flatnonzero(self.rows == row)
-        seen[own] = True
-        at, scores = np.empty(0, np.int64), np.empty(0, exact)
-        depth = 0
+        seen[self.rows == row] = True
+        at, scores = np.empty(0, np.int64), np.empty(0, v.dtype)
+        depth, end = 0, STRETCH if len(dims) else n
         while depth < n:
-            end = min(n, depth + STRETCH)
+            end = min(n, end)
+            before = seen.copy()
             if len(dims):
-                up = q[dims] > 0
-                high, low = self.lists[n - end : n - depth, dims[up]], self.lists[depth:end, dims[~up]]
-                met = np.concatenate([high.ravel(), low.ravel()])
+                for d, high in zip(dims.tolist(), up.tolist()):
+                    seen[self.lists[d, n - end : n - depth] if high else self.lists[d, depth:end]] = True
             else:
-                met, end = np.arange(n), n
-            fresh = np.zeros(n, bool)
-            fresh[met] = True
-            new = np.flatnonzero(fresh & ~seen)
-            seen[new] = True
-            if len(new):
-                s = self.v[new].astype(exact) @ qd
-                keep = s >= max([x for x in (floor, self._kth(scores, k)) if x is not None], default=-np.inf)
-                at, scores = np.concatenate([at, new[keep]]), np.concatenate([scores, s[keep]])
-                order = np.lexsort((self.ids[at], -scores))[:k] if exact is not object else np.array(sorted(range(len(at)), key=lambda i: (-scores[i], self.ids[at[i]]))[:k], np.int64)
-                at, scores = at[order], scores[order]
-            bound = sum(int(a) * int(b) for a, b in zip(q[dims], np.where(q[dims] > 0, self.sorted[n - end, dims], self.sorted[end - 1, dims])))
-            best = max([x for x in (floor, self._kth(scores, k)) if x is not None], default=None)
-            if best is not None and bound < best:
+                seen[:] = True
+            new = np.flatnonzero(seen & ~before)
+            if not len(dims):
+                new = np.flatnonzero(self.rows != row)
+            s = v[new] @ qd
+            at, scores = np.concatenate([at, new]), np.concatenate([scores, s])
+            if len(scores) > k:  # all that reach the k-th score stay: a tie may have a smaller id
+                kth = np.partition(scores, len(scores) - k)[len(scores) - k] if v.dtype != object else sorted(scores)[-k]
+                stay = scores >= kth
+                at, scores = at[stay], scores[stay]
+            edge = np.where(up, self.sorted[n - end, dims], self.sorted[end - 1, dims])
+            bound = (edge.astype(v.dtype) * qd[dims]).sum()
+            if (len(scores) >= k and bound < scores.min()) or seen.all():
                 break
-            depth = end
-        return at, scores
-
-    @staticmethod
-    def _kth(scores: np.ndarray, k: int) -> float | None:
-        return scores[k - 1] if len(scores) >= k else None
+            depth, end = end, 2 * end
+        order = sorted(range(len(at)), key=lambda i: (-scores[i], self.ids[at[i]]))[:k]
+        return at[order], [int(scores[i]) for i in order]
 
 
 def top_k(vectors: DataFrame, queries, key: str = "vec_id", vector: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
@@ -115,8 +118,8 @@ def top_k(vectors: DataFrame, queries, key: str = "vec_id", vector: str = "embed
             width = max(max(map(len, a["v"])), max(map(len, h["v"])))
             block = Block(h["row"].to_numpy(np.int64), h[key].to_numpy(np.int64), matrix(h, width))
             for row, name, q in zip(a["row"].tolist(), a[key].tolist(), matrix(a, width)):
-                at, scores = block.search(row, q, k, None)
-                found += [(row, name, int(block.ids[i]), int(s)) for i, s in zip(at, scores)]
+                at, scores = block.search(row, q, k)
+                found += [(row, name, int(block.ids[i]), s) for i, s in zip(at, scores)]
         return pd.DataFrame(found, columns=["qrow", "query_id", key, "score"])
 
     near = asks.groupBy("c", "q").cogroup(holds.groupBy("c", "q")).applyInPandas(run, f"qrow long, query_id long, `{key}` long, score long")
