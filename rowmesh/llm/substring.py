@@ -216,38 +216,29 @@ class FMIndex:
         """For each word of each fragment: the length of the longest match from there, within the fragment, that occurs
         twice in the index."""
         k = len(self.lengths)
-        order = np.argsort(-self.lengths, kind="stable")
-        lengths, starts = self.lengths[order], self.starts[order]
         lo, hi, size = np.zeros(k, np.int64), np.full(k, self.n, np.int64), np.zeros(k, np.int64)
+        at, stop = self.starts + self.lengths - 1, self.starts
         out = np.zeros(self.n, np.int64)
-        for step in range(int(lengths[0])):
-            live = int(np.searchsorted(-lengths, -step, "left"))
-            at = starts[:live] + lengths[:live] - 1 - step
-            c = self.text[at]
-            todo = np.arange(live)
-            while len(todo):
-                a, b = self.extend(c[todo], lo[todo], hi[todo])
-                good = self.weight[b] - self.weight[a] >= 2
-                yes = todo[good]
-                lo[yes], hi[yes] = a[good], b[good]
-                size[yes] += 1
-                todo = todo[~good]
-                todo = todo[size[todo] > 0]  # at the root nothing is left to shorten
-                if len(todo):
-                    left, right = self.lcp[lo[todo]], self.lcp[hi[todo]]
-                    depth = np.maximum(left, right)
-                    wide_l, wide_r = left == depth, right == depth
-                    new_lo = np.where(wide_l, self.before[lo[todo]], lo[todo])
-                    new_hi = np.where(wide_r, self.after[hi[todo]], hi[todo])
-                    root = depth == 0
-                    lo[todo], hi[todo] = np.where(root, 0, new_lo), np.where(root, self.n, new_hi)
-                    size[todo] = depth
-            out[at] = size[:live]
+        while len(at):  # every fragment takes a step of its own: a word further, or one parent up
+            a, b = self.extend(self.text[at], lo, hi)
+            good = self.weight[b] - self.weight[a] >= 2
+            depth = np.maximum(self.lcp[lo], self.lcp[hi])
+            root = depth == 0
+            up_lo = np.where(root, 0, np.where(self.lcp[lo] == depth, self.before[lo], lo))
+            up_hi = np.where(root, self.n, np.where(self.lcp[hi] == depth, self.after[hi], hi))
+            done = good | (size == 0)  # at the root nothing is left to shorten
+            lo, hi = np.where(good, a, up_lo), np.where(good, b, up_hi)
+            size = np.where(good, size + 1, np.where(done, 0, depth))
+            out[at[done]] = size[done]
+            at = at - done
+            live = at >= stop
+            if not live.all():
+                at, stop, lo, hi, size = at[live], stop[live], lo[live], hi[live], size[live]
         return [out[s : s + n] for s, n in zip(self.starts, self.lengths)]
 
 
 def repeated_windows(frags: list[np.ndarray], weights: np.ndarray, window: int) -> list[list[int]]:
-    """Per fragment: runs of its windows that occur twice, as first, end, first, end ..."""
+    """For each fragment: runs of its windows that occur twice, as first, end, first, end ..."""
     out = []
     for m in FMIndex(frags, weights).matches():
         edge = np.flatnonzero(np.diff(m >= window, prepend=False, append=False))
@@ -330,10 +321,14 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             for asked, raw in zip(batch["wanted"], batch["text"]):
                 words = utf8(raw).split()
                 rows = []
-                for w in asked:
+                home = _shard(np.array([w["anchor"] for w in asked], np.int64).view(np.uint64), shards).tolist()
+                for w, shard in zip(asked, home):
                     span = words[w["pos"] : w["pos"] + w["windows"] + window - 1]
-                    for shard, off, n in _split(span, w["anchor"], w["kinds"], window, gram, shards):
-                        rows.append((shard, w["anchor"], w["frag"], off, w["copies"], b" ".join(span[off : off + n + window - 1])))
+                    if not w["kinds"]:
+                        rows.append((shard, w["anchor"], w["frag"], 0, w["copies"], b" ".join(span)))
+                        continue
+                    for part, off, n in _split(span, w["anchor"], w["kinds"], window, gram, shards):
+                        rows.append((part, w["anchor"], w["frag"], off, w["copies"], b" ".join(span[off : off + n + window - 1])))
                 yield pd.DataFrame(rows, columns=_columns(piece))
 
     pieces = keyed.join(wanted, ["d", "t"]).mapInPandas(fetch, piece)
@@ -351,12 +346,14 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     return found.join(runs, ["anchor", "frag"]).select("d", "t", spans.alias("spans")).groupBy("d", "t").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
+def _shard(key: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(key) % np.uint64(shards)).astype(np.int64)
+
+
 def _split(span: list[bytes], anchor: int, kinds: int, window: int, gram: int, shards: int) -> list[tuple[int, int, int]]:
-    """(shard, first window, windows) of a fragment's parts: itself, unless its anchor has too many kinds; then each run
-    of windows that agree in the minima of some more hash functions, more of them the more kinds there are."""
+    """(shard, first window, windows) of the parts of a fragment whose anchor has too many kinds: each run of windows that
+    agree in the minima of some more hash functions, more of them the more kinds there are."""
     n = len(span) - window + 1
-    if not kinds:
-        return [(int(mix(np.array([anchor], np.int64).view(np.uint64))[0] % np.uint64(shards)), 0, n)]
     words, _ = word_hashes([b" ".join(span)])
     h = gram_hashes(words, gram)[: len(span) - gram + 1]
     key = np.full(n, np.int64(anchor).view(np.uint64), np.uint64)
@@ -364,7 +361,7 @@ def _split(span: list[bytes], anchor: int, kinds: int, window: int, gram: int, s
         key = mix(key + least_of(mix(h ^ np.uint64(0x51ED + 9973 * i)), window - gram + 1)[0][:n])
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     ends = np.append(begin[1:], n)
-    return [(int(key[b] % np.uint64(shards)), int(b), int(e - b)) for b, e in zip(begin, ends)]
+    return [(int(s), int(b), int(e - b)) for s, b, e in zip(_shard(key[begin], shards), begin, ends)]
 
 
 def keep_words(words: list[bytes], spans: list | np.ndarray | None) -> list[bytes]:
