@@ -8,8 +8,8 @@ header, wherever in the text it stands. A file with a license that is named like
 FILE_WORDS words, is a licence file of its directory. A file without a license of its own takes that of the nearest
 directory above it that has one.
 
-Statements are scored only where they hold one of the core terms: without them no statement can reach THRESHOLD. That is
-worked out from the templates, so nothing is lost, and few statements are shuffled.
+Statements are scored only where they hold a term of some template: without one every cosine is 0. So nothing is lost, and
+few statements are shuffled.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from rowmesh.llm.frame import cut, table
 
 THRESHOLD = 0.6
 FILE_WORDS = 64
+#: Stop words: words of ordinary prose are no terms.
+COMMON = tuple("a about all an and any are as at be by can except file files for free from has have in is it its may no not of on or other that the this to under use used with without work you your".split())
 NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.\-_].*)?$"
 WORD = r"[^\x20\x09-\x0D]+"
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -42,14 +44,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 
 
 def terms(statement: str) -> list[str]:
-    """Runs of a-z, 0-9 and inner points, lower-cased; the twin of the expression in scan()."""
-    return [t for t in re.sub(r"\.+( |$)", r"\1", re.sub(r"[^a-z0-9.]+", " ", statement.lower())).split(" ") if t]
+    """Runs of a-z, 0-9 and inner points, lower-cased, without stop words; the twin of the expression in own_licenses()."""
+    return [t for t in re.sub(r"\.+( |$)", r"\1", re.sub(r"[^a-z0-9.]+", " ", statement.lower())).split(" ") if t and t not in COMMON]
 
 
 class Collection:
     """The templates as unit vectors: names and weights by template, inverse frequencies by term."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]], threshold: float) -> None:
+    def __init__(self, templates: dict[str, tuple[str, ...]]) -> None:
         rows = sorted((name, text) for name, texts in templates.items() for text in texts)
         self.names = [name for name, _ in rows]
         bags = [terms(text) for _, text in rows]
@@ -61,15 +63,7 @@ class Collection:
             raw = {t: b.count(t) * self.idf[t] for t in b}
             norm = math.sqrt(sum(x * x for x in raw.values()))
             self.vectors.append({t: x / norm for t, x in raw.items()})
-        # Terms common among templates, then short ones, are left out as long as what is left out can't reach the threshold.
-        self.core: list[str] = []
-        out = [0.0] * n
-        for t in sorted(self.idf, key=lambda t: (self.idf[t], len(t), t)):
-            more = [o + v.get(t, 0.0) ** 2 for o, v in zip(out, self.vectors)]
-            if max(more) < threshold**2 - 1e-9:
-                out = more
-            else:
-                self.core.append(t)
+        self.core = sorted(self.idf)
 
     def core_pattern(self) -> str:
         return "(?i)(^|[^a-z0-9])(" + "|".join(re.escape(t) for t in self.core) + ")([^a-z0-9]|$)"
@@ -85,7 +79,7 @@ def own_licenses(files: DataFrame, made: Collection, threshold: float) -> DataFr
     lines = F.split(F.regexp_replace("text", r"([.!?])[\x20\x09]+", "$1\n"), "[\r\n]+")
     held = files.where(F.col("text").rlike(made.core_pattern())).select("path", "hash", F.posexplode(lines).alias("at", "statement"))
     clean = F.regexp_replace(F.regexp_replace(F.lower("statement"), "[^a-z0-9.]+", " "), r"\.+( |$)", "$1")
-    bags = held.where(F.col("statement").rlike(made.core_pattern())).select("path", "hash", "at", F.explode(F.split(clean, " ")).alias("term")).where("term <> ''")
+    bags = held.where(F.col("statement").rlike(made.core_pattern())).select("path", "hash", "at", F.explode(F.split(clean, " ")).alias("term")).where((F.col("term") != "") & ~F.col("term").isin(*COMMON))
     # Repeated rows double every count of a statement, which leaves its cosines as they are.
     counts = bags.groupBy("path", "hash", "at", "term").agg(F.count("*").alias("n"))
     weighed = counts.join(idf, "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(made.unseen)))
@@ -104,7 +98,7 @@ def scan(files: DataFrame, path: Column, text: str = "text", templates: dict[str
     of the least path. A null path has no directory. Repeated rows are alike; an empty table gives no rows. Columns of
     the given table that are named like the new ones are replaced.
     """
-    made = Collection(templates or TEMPLATES, threshold)
+    made = Collection(templates or TEMPLATES)
     new = ("path", "license", "similarity", "via", "license_dir")
     body = F.col(f"`{text}`")
     rows = files.withColumns({"__path": path, "__hash": F.xxhash64(body)})
@@ -146,10 +140,11 @@ def _values(rows: list[tuple]) -> str:
 
 
 def op1_sql() -> str:
-    made = Collection(TEMPLATES, THRESHOLD)
+    made = Collection(TEMPLATES)
     idf = _values([(t, f"{x!r}") for t, x in made.idf.items()])
     vectors = _values([(k, made.names[k], t, f"{x!r}") for k, v in enumerate(made.vectors) for t, x in v.items()])
     core = made.core_pattern().replace("'", "''")
+    stop = ", ".join(f"'{w}'" for w in COMMON)
     return rf"""
 WITH idf(t, x) AS (SELECT c0, CAST(c1 AS DOUBLE) FROM (VALUES {idf}) v(c0, c1)),
 vec(k, name, t, w) AS (SELECT c0, c1, c2, CAST(c3 AS DOUBLE) FROM (VALUES {vectors}) v(c0, c1, c2, c3)),
@@ -159,7 +154,7 @@ l AS (SELECT path, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])[\x
              generate_subscripts(regexp_split_to_array(regexp_replace(text, '([.!?])[\x20\x09]+', '\1' || chr(10), 'g'), '[\r\n]+'), 1) AS pos FROM f),
 b AS (SELECT path, pos, unnest(string_split(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g'), '\.+( |$)', '\1', 'g'), ' ')) AS t
       FROM l WHERE regexp_matches(s, '{core}')),
-x AS (SELECT path, pos, b.t, count(*) * coalesce(max(idf.x), {made.unseen!r}) AS x FROM b LEFT JOIN idf ON b.t = idf.t WHERE b.t <> '' GROUP BY 1, 2, 3),
+x AS (SELECT path, pos, b.t, count(*) * coalesce(max(idf.x), {made.unseen!r}) AS x FROM b LEFT JOIN idf ON b.t = idf.t WHERE b.t <> '' AND b.t NOT IN ({stop}) GROUP BY 1, 2, 3),
 n AS (SELECT path, pos, sqrt(sum(x * x)) AS norm FROM x GROUP BY 1, 2),
 c AS (SELECT x.path, x.pos, vec.k, any_value(vec.name) AS name, round(sum(x.x * vec.w) / any_value(n.norm), 6) AS sim
       FROM x JOIN vec ON x.t = vec.t JOIN n ON n.path = x.path AND n.pos = x.pos GROUP BY 1, 2, 3),
