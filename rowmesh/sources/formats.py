@@ -1,5 +1,5 @@
 """Graph and matrix files as DataFrames. Text formats are read with the text reader and parsed by expressions; line
-numbers, where a format needs them, come from range-free per-file positions of single files.
+numbers, where a format needs them, come from the counts of the partitions of one file.
 
 Vertices are (id, load, label), arcs (src, dst, load), matrices (row, col, val).
 """
@@ -245,3 +245,28 @@ def edge_list(spark: SparkSession, path: str, directed: bool = False) -> DataFra
 def scatter_files(df: DataFrame, path: str, parts: int, by: str = "id") -> None:
     """One folder a remainder of the key."""
     df.withColumn("part", F.pmod(by, F.lit(parts))).repartition(parts, "part").write.partitionBy("part").parquet(path)
+
+
+def read_harwell_boeing(spark: SparkSession, path: str) -> DataFrame:
+    """The symmetric graph of an assembled square pattern, ids from 1. The format is one fixed-width stream, so the driver
+    reads it; it is meant for matrices that fit there."""
+    import re
+
+    from rowmesh.plans.graph import symmetrize
+
+    with open(path) as f:
+        lines = f.read().split("\n")
+    _, pointer_cards, index_cards, _, rhs_cards = (int(lines[1][14 * i : 14 * (i + 1)].strip() or 0) for i in range(5))
+    kind, shape = lines[2][:3].upper(), [int(x) for x in lines[2][3:].split()]
+    if shape[0] != shape[1] or kind[2:3] != "A":
+        raise ValueError("not an assembled square matrix")
+    formats = re.findall(r"\((?:\d+)?I(\d+)", lines[3].upper())
+    at = 5 if rhs_cards else 4
+
+    def numbers(cards: list[str], width: int) -> list[int]:
+        return [int(c[i : i + width]) for c in cards for i in range(0, len(c.rstrip()), width) if c[i : i + width].strip()]
+
+    starts = numbers(lines[at : at + pointer_cards], int(formats[0]))
+    rows = numbers(lines[at + pointer_cards : at + pointer_cards + index_cards], int(formats[1]))
+    pairs = [(c + 1, r) for c, (a, b) in enumerate(zip(starts, starts[1:])) for r in rows[a - 1 : b - 1]]
+    return symmetrize(spark.createDataFrame(pairs, "src long, dst long"))
