@@ -44,6 +44,23 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+_NO_KEY = -(1 << 63)
+
+
+def hide_nulls(df: DataFrame, key: str) -> DataFrame:
+    """Null long keys as the least long: pandas would turn a batch that holds a null, and its large keys, into doubles."""
+    if df.schema[key].dataType.simpleString() != "bigint":
+        return df
+    return df.withColumn(key, F.coalesce(F.col(key), F.lit(_NO_KEY)))
+
+
+def show_nulls(df: DataFrame, key: str) -> DataFrame:
+    """The inverse of hide_nulls; a key that is the least long itself comes back as null."""
+    if df.schema[key].dataType.simpleString() != "bigint":
+        return df
+    return df.withColumn(key, F.when(F.col(key) != _NO_KEY, F.col(key)))
+
+
 def fold_pairs(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (u, v) by alternating large-star and small-star contraction.
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmesh.llm.frame import only, table
+from rowmesh.llm.frame import hide_nulls, only, show_nulls, table
 from rowmesh.llm.quality import held_out
 
 #: Training documents a language, at most; languages at most; rounds of expectation maximisation.
@@ -255,7 +255,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                 names, scores = shared.value.classify(part[text].tolist())
                 yield pd.DataFrame({key: part[key].to_numpy(), "lang_pred": names, "score": scores})
 
-    return only(docs, key, text).mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")
+    return show_nulls(hide_nulls(only(docs, key, text), key).mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, lang_pred string, score double"), key)
 
 
 def op9_unigram_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmesh.llm.frame import only, table
+from rowmesh.llm.frame import hide_nulls, only, show_nulls, table
 from rowmesh.llm.text import blocks, shingle_hashes, utf8, word_hashes
 
 WORDS = 5
@@ -101,7 +101,7 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 found += pack(sketch(raw[part]))
             yield pd.DataFrame({key: b[key], "fingerprint": found})
 
-    return only(docs, key, text).mapInPandas(run, f"`{key}` {kind}, fingerprint string")
+    return show_nulls(hide_nulls(only(docs, key, text), key).mapInPandas(run, f"`{key}` {kind}, fingerprint string"), key)
 
 
 def in_order(docs: DataFrame, key: str, text: str, ranges: int) -> DataFrame:
@@ -147,7 +147,8 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
     ranges = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2)
     kind = docs.schema[key].dataType.simpleString()
     parts = in_order(docs, key, text, ranges)
-    parts = parts.withColumn(text, F.coalesce(text, F.lit(""))).repartition("part").sortWithinPartitions("part", "guest", key, text)
+    parts = parts.withColumn(text, F.coalesce(text, F.lit("")))
+    parts = hide_nulls(parts, key).repartition("part").sortWithinPartitions("part", "guest", key, text)
 
     def answer(rows: list[tuple], head: tuple) -> pd.DataFrame:
         """rows: (part, guest, key, text) whose next ones are the row after each, and head after the last."""
@@ -185,7 +186,7 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
             yield answer(held, held[-1])
 
     schema = f"`{key}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return parts.mapInPandas(run, schema)
+    return show_nulls(parts.mapInPandas(run, schema), key)
 
 
 def op3_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmesh.llm.frame import cut, fold_pairs, only, table
+from rowmesh.llm.frame import cut, fold_pairs, hide_nulls, only, show_nulls, table
 from rowmesh.llm.text import utf8
 
 WORDS = 3
@@ -65,7 +65,7 @@ def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         for b in batches:
             yield pd.DataFrame({key: b[key], "fp": fingerprints(b[text].tolist()).view(np.int64)})
 
-    return only(docs, key, text).mapInPandas(run, f"`{key}` {kind}, fp long")
+    return show_nulls(hide_nulls(only(docs, key, text), key).mapInPandas(run, f"`{key}` {kind}, fp long"), key)
 
 
 def near_pairs(fps: DataFrame) -> DataFrame:

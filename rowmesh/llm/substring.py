@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmesh.llm.frame import cut, only, table, written
+from rowmesh.llm.frame import cut, hide_nulls, only, show_nulls, table, written
 from rowmesh.llm.text import blocks, mix, utf8, word_hashes
 
 WINDOW = 35
@@ -389,6 +389,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     rows = only(docs, key, text)
     kind = docs.schema[key].dataType.simpleString()
     joined = rows.join(spans, (F.coalesce(F.col(key).cast("long"), F.lit(_NONE)) == F.col("__d")) & (F.xxhash64(text) == F.col("__t")), "left").select(key, text, "spans")
+    joined = hide_nulls(joined, key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -400,7 +401,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(joined_).hexdigest(), joined_.decode("utf-8", "replace")))
             yield pd.concat([b[[key]].reset_index(drop=True), pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256", "kept"])], axis=1)
 
-    return joined.mapInPandas(run, f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    return show_nulls(joined.mapInPandas(run, f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string, kept string"), key)
 
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str | None = "n_chars", window: int = WINDOW) -> DataFrame:

@@ -33,6 +33,7 @@ def rows():
     base = texts[-1].split()
     texts += [" ".join([*base[:-1], "changed"]) if len(base) > 1 else "changed"]
     out = [(i, t, ("en", "de", None)[i % 3], ("a", "b", None)[i % 3], len(t or ""), "clash", 1.0, 1, 1, "p") for i, t in enumerate(texts)]
+    out += [(2**62 + 1, "a large key", "en", "a", 11, None, None, None, None, None)]
     out += [out[8], out[8], (None, "null key text here", None, None, 0, None, None, None, None, None), (None, shared, "en", "a", 0, None, None, None, None, None)]
     return out
 
