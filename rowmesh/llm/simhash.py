@@ -57,15 +57,16 @@ def fingerprints(texts: list[str | None], n: int = WORDS) -> np.ndarray:
     return out
 
 
-def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp): the fingerprint of every whole text as a signed long. Null text: no words, fingerprint 0."""
-    kind = docs.schema[key].dataType.simpleString()
+def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, also, fp): the fingerprint of every whole text as a signed long, with the columns also (no nulls in them).
+    Null text: no words, fingerprint 0."""
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in (key, *also))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({key: b[key], "fp": fingerprints(b[text].tolist()).view(np.int64)})
+            yield pd.DataFrame({**{c: b[c] for c in (key, *also)}, "fp": fingerprints(b[text].tolist()).view(np.int64)})
 
-    return show_nulls(hide_nulls(only(docs, key, text), key).mapInPandas(run, f"`{key}` {kind}, fp long"), key)
+    return show_nulls(hide_nulls(only(docs, key, text, *also), key).mapInPandas(run, f"{kinds}fp long"), key)
 
 
 def near_pairs(fps: DataFrame) -> DataFrame:
@@ -79,13 +80,13 @@ def near_pairs(fps: DataFrame) -> DataFrame:
 
 
 def near_components(fps: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(fp, component_id): for each distinct fp of (key, fp), the least key reachable over links. Null keys rank last: a
-    component of null keys alone has a null id."""
+    """(fp, root, component_id): for each distinct fp of (key, fp), a fingerprint that names its component and the least
+    key reachable over links. Null keys rank last: a component of null keys alone has a null id."""
     groups = cut(fps.groupBy("fp").agg(F.min(key).alias("rep")))
     roots = fold_pairs(near_pairs(groups.select("fp")))
     named = groups.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return named.join(best, "root").select("fp", "component_id")
+    return named.join(best, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -100,11 +101,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without all but one of each component: the row of the least key stays, of rows that share it the
-    one of the least text. The columns are those given."""
-    kept = near_duplicates(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__k")).distinct()
-    rows = docs.join(kept, docs[key].eqNullSafe(kept["__k"]), "left_semi")
-    return rows.dropDuplicates([key])
+    """The documents without all but one of each component: the row of the least key stays (null keys rank last), of rows
+    that share it the one of the least text, then of the least other columns. Components are told apart by their root, so
+    rows of one key, or of null keys, that aren't linked all stay. The columns are those given; none may be a map.
+    """
+    rows = docs.withColumn("__digest", F.coalesce(F.md5(F.col(f"`{text}`")), F.lit("")))
+    fps = cut(simhash(rows, key, text, ("__digest",)))
+    first = fps.join(near_components(fps, key), "fp").where(F.col(key).eqNullSafe(F.col("component_id")))
+    first = first.select(F.col(key).alias("__k"), F.col("__digest").alias("__d"), F.col("root").alias("__root")).distinct()
+    held = rows.join(first, rows[key].eqNullSafe(first["__k"]) & (F.col("__digest") == F.col("__d")))
+    order = [text, *[c for c in docs.columns if c != text]]
+    least = held.groupBy("__root").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in order])).alias("__row"))
+    return least.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,6 +172,16 @@ def test_near_duplicates(docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(11)
+    apart = [prose(rng, 80) for _ in range(7)]
+    texts = [(None, apart[0]), (None, apart[1]), (None, apart[2]), (None, apart[2]), (7, apart[3]), (7, apart[4]), (9, apart[5]), (None, apart[5]), (8, apart[5]), (6, None), (6, ""), (None, apart[6].upper()), (None, apart[6])]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(texts)], "doc_id long, text string, n long")
+    want = [(None, apart[0], 0), (None, apart[1], 1), (None, apart[2], 2), (7, apart[3], 4), (7, apart[4], 5), (8, apart[5], 8), (6, None, 9), (None, apart[6].upper(), 11)]
+    for parts in (1, 5):
+        assert sorted(map(tuple, simhash.drop_near_duplicates(df.repartition(parts)).collect()), key=str) == sorted(want, key=str)
+
+
 def test_pairs_are_found_and_exact(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(40)]
