@@ -8,8 +8,9 @@ header, wherever in the text it stands. A file with a license that is named like
 FILE_WORDS words, is a licence file of its directory. A file without a license of its own takes that of the nearest
 directory above it that has one.
 
-Statements are scored only where they hold a term of some template: without one every cosine is 0. So nothing is lost, and
-few statements are shuffled.
+Statements are shuffled only where they can reach THRESHOLD: they hold one of the core terms, without which none can, and
+the part of their weight that lies on terms of templates is large enough (a cosine is at most that part's norm over the
+whole norm). Both are exact bounds, so nothing is lost, and few statements are shuffled.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from rowmesh.llm.frame import cut, table
 
 THRESHOLD = 0.6
+#: Similarities are rounded to 6 digits; bounds leave room for that.
+SLACK = 1e-6
 FILE_WORDS = 64
-#: Stop words: words of ordinary prose are no terms.
+#: Stop words that op1_sql() still leaves out; scan() leaves out no term.
 COMMON = tuple("a about all an and any are as at be by can except file files for free from has have in is it its may no not of on or other that the this to under use used with without work you your".split())
 NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.\-_].*)?$"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,18 +46,19 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 
 
-def terms(statement: str) -> list[str]:
+def terms(statement: str, stop: tuple[str, ...] = ()) -> list[str]:
     """Runs of a-z, 0-9 and inner points, lower-cased, without stop words; the twin of the expression in own_licenses()."""
-    return [t for t in re.sub(r"\.+( |$)", r"\1", re.sub(r"[^a-z0-9.]+", " ", statement.lower())).split(" ") if t and t not in COMMON]
+    return [t for t in re.sub(r"\.+( |$)", r"\1", re.sub(r"[^a-z0-9.]+", " ", statement.lower())).split(" ") if t and t not in stop]
 
 
 class Collection:
-    """The templates as unit vectors: names and weights by template, inverse frequencies by term."""
+    """The templates as unit vectors: names and weights by template, inverse frequencies by term. The core terms are those
+    without which no statement can reach the threshold; with no threshold, all."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]]) -> None:
+    def __init__(self, templates: dict[str, tuple[str, ...]], threshold: float = 0.0, stop: tuple[str, ...] = ()) -> None:
         rows = sorted((name, text) for name, texts in templates.items() for text in texts)
         self.names = [name for name, _ in rows]
-        bags = [terms(text) for _, text in rows]
+        bags = [terms(text, stop) for _, text in rows]
         n = len(bags)
         self.idf = {t: math.log((1 + n) / (1 + sum(t in b for b in bags))) + 1 for b in bags for t in b}
         self.unseen = math.log(1 + n) + 1
@@ -63,12 +67,36 @@ class Collection:
             raw = {t: b.count(t) * self.idf[t] for t in b}
             norm = math.sqrt(sum(x * x for x in raw.values()))
             self.vectors.append({t: x / norm for t, x in raw.items()})
-        self.core = sorted(self.idf)
+        # Terms common among templates, then short ones, are left out as long as what is left out can't reach the threshold.
+        self.least = max(threshold - SLACK, 0.0) ** 2
+        core, out = [], [0.0] * n
+        for t in sorted(self.idf, key=lambda t: (self.idf[t], len(t), t)):
+            more = [o + v.get(t, 0.0) ** 2 for o, v in zip(out, self.vectors)]
+            if max(more) < self.least:
+                out = more
+            else:
+                core.append(t)
+        self.core = sorted(core)
 
     def core_pattern(self) -> str:
         return "(?i)(^|[^a-z0-9])(" + "|".join(re.escape(t) for t in self.core) + ")([^a-z0-9]|$)"
 
 
+def within_reach(words: Column, made: Collection) -> Column:
+    """Whether the part of a statement's squared norm on terms of templates allows the threshold."""
+    idf = F.create_map(*[F.lit(x) for pair in made.idf.items() for x in pair])
+
+    def add(a: Column, t: Column) -> Column:
+        known = F.try_element_at(idf, t)
+        w = F.coalesce(known, F.lit(made.unseen))
+        run = F.when(t == a["t"], a["run"]).otherwise(F.lit(0.0))
+        more = w * w + F.lit(2.0) * run * w  # ((n + 1)w)^2 - (nw)^2
+        return F.struct(t.alias("t"), (run + w).alias("run"), (a["all"] + more).alias("all"), (a["part"] + F.when(known.isNotNull(), more).otherwise(F.lit(0.0))).alias("part"))
+
+    start = F.struct(F.lit("").alias("t"), F.lit(0.0).alias("run"), F.lit(0.0).alias("all"), F.lit(0.0).alias("part"))
+    return F.aggregate(F.array_sort(words), start, add, lambda a: a["part"] >= F.lit(made.least) * a["all"])
+
+
 def own_licenses(files: DataFrame, made: Collection, threshold: float) -> DataFrame:
     """(path, hash, license, similarity) of files (path, hash, text) with a license of their own: that of the
     best statement, earlier ones first among equals, then earlier templates."""
@@ -79,7 +107,8 @@ def own_licenses(files: DataFrame, made: Collection, threshold: float) -> DataFr
     lines = F.split(F.regexp_replace("text", r"([.!?])[\x20\x09]+", "$1\n"), "[\r\n]+")
     held = files.where(F.col("text").rlike(made.core_pattern())).select("path", "hash", F.posexplode(lines).alias("at", "statement"))
     clean = F.regexp_replace(F.regexp_replace(F.lower("statement"), "[^a-z0-9.]+", " "), r"\.+( |$)", "$1")
-    bags = held.where(F.col("statement").rlike(made.core_pattern())).select("path", "hash", "at", F.explode(F.split(clean, " ")).alias("term")).where((F.col("term") != "") & ~F.col("term").isin(*COMMON))
+    words = held.where(F.col("statement").rlike(made.core_pattern())).select("path", "hash", "at", F.array_remove(F.split(clean, " "), "").alias("words"))
+    bags = words.where(within_reach(F.col("words"), made)).select("path", "hash", "at", F.explode("words").alias("term"))
     # Repeated rows double every count of a statement, which leaves its cosines as they are.
     counts = bags.groupBy("path", "hash", "at", "term").agg(F.count("*").alias("n"))
     weighed = counts.join(idf, "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(made.unseen)))
@@ -98,7 +127,7 @@ def scan(files: DataFrame, path: Column, text: str = "text", templates: dict[str
     of the least path. A null path has no directory. Repeated rows are alike; an empty table gives no rows. Columns of
     the given table that are named like the new ones are replaced.
     """
-    made = Collection(templates or TEMPLATES)
+    made = Collection(templates or TEMPLATES, threshold)
     new = ("path", "license", "similarity", "via", "license_dir")
     body = F.col(f"`{text}`")
     rows = files.withColumns({"__path": path, "__hash": F.xxhash64(body)})
@@ -140,7 +169,7 @@ def _values(rows: list[tuple]) -> str:
 
 
 def op1_sql() -> str:
-    made = Collection(TEMPLATES)
+    made = Collection(TEMPLATES, stop=COMMON)
     idf = _values([(t, f"{x!r}") for t, x in made.idf.items()])
     vectors = _values([(k, made.names[k], t, f"{x!r}") for k, v in enumerate(made.vectors) for t, x in v.items()])
     core = made.core_pattern().replace("'", "''")

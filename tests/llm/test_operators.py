@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -70,6 +71,23 @@ def test_licenses(spark, none):
     assert licenses.scan(none, F.lit("a/b")).count() == 0
 
 
+def test_every_term_of_a_statement_counts(spark):
+    prose = ["It is from MIT.", "It is all about Apache.", "It is not for the general public.", "In the creative commons.", "the the of GNU", "Licensed under the"]
+    own = [(name, t) for name, texts in licenses.TEMPLATES.items() for t in texts]
+    lines = [*[(None, t) for t in prose], *own, (None, "the author has waived all copyright and"), (None, "Released under the MIT License, the MIT of it all, as is")]
+    bags = [Counter(licenses.terms(t)) for _, t in own]
+    idf = lambda t: np.log((1 + len(bags)) / (1 + sum(t in b for b in bags))) + 1
+    norm = lambda b: sum((n * idf(t)) ** 2 for t, n in b.items()) ** 0.5
+    want = []
+    for i, (_, line) in enumerate(lines):
+        said = [Counter(licenses.terms(t)) for t in re.split(r"(?<=[.!?])[ \t]+", line)]
+        best = max(round(float(sum(n * c[t] * idf(t) ** 2 for t, n in b.items()) / norm(b) / norm(c)), 6) for b in said for c in bags)
+        want.append((i, best if best >= licenses.THRESHOLD else None))
+    files = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(lines)], "n long, text string")
+    got = licenses.scan(files, F.concat(F.lit("d"), F.col("n").cast("string"), F.lit("/f"))).select("n", "similarity").collect()
+    assert sorted(map(tuple, got)) == want and all(s is None for _, s in want[: len(prose)])
+
+
 def test_license_scan_keeps_every_row(docs, rows):
     assert licenses.scan(docs, licenses.document_path()).count() == len(rows)
 
