@@ -520,7 +520,7 @@ def hyperanf_3(spark: SparkSession, sf: str) -> DataFrame:
 @query(_anf_sql(3, 6, "SELECT round(CASE WHEN t = 0 THEN 0 ELSE t - 1 + (0.9 * top - b) / (n - b) END, 6) AS effective_diameter FROM (SELECT t, n, coalesce(lag(n) OVER (ORDER BY t), 0) AS b, max(n) OVER () AS top FROM anf) WHERE n >= 0.9 * top ORDER BY t LIMIT 1"))
 def effective_diameter(spark: SparkSession, sf: str) -> DataFrame:
     a = cut(arcs(spark, sf))
-    return hll.effective_diameter(hll.hyper_anf(a, G.vertices_of(a), 3, 6)).select(F.round("effective_diameter", 6).alias("effective_diameter"))
+    return hll.effective_diameter(hll.hyper_anf(a, G.vertices_of(a), None, 6)).select(F.round("effective_diameter", 6).alias("effective_diameter"))
 
 
 # --- colouring, matching, partition ----------------------------------------------------------------------------------

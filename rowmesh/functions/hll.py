@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,11 +46,12 @@ def estimate(sk: DataFrame, by: list[str], bits: int = 4) -> DataFrame:
     return sk.groupBy(*by).agg((F.lit(m * m * 0.72134) / (F.sum(F.pow(F.lit(2.0), -F.col("val"))) + (m - F.count("*")))).alias("size"))
 
 
-def hyper_anf(arcs: DataFrame, vertices: DataFrame, rounds: int, bits: int = 4) -> DataFrame:
-    """(t, n): the neighbourhood function, estimated pairs within distance t, until nothing changes or rounds end."""
+def hyper_anf(arcs: DataFrame, vertices: DataFrame, rounds: int | None, bits: int = 4) -> DataFrame:
+    """(t, n): the neighbourhood function, estimated pairs within distance t, until nothing changes or rounds end; rounds
+    None: no limit."""
     state = cut(sketch(vertices.select("id", F.col("id").alias("v")), ["id"], "v", bits))
     sizes = [estimate(state, ["id"], bits).agg(F.sum("size")).first()[0]]
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         near = arcs.join(state.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "reg", "val")
         new = cut(union(state, near, ["id"]))
         if new.join(state, ["id", "reg", "val"], "left_anti").isEmpty():

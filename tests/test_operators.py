@@ -141,3 +141,26 @@ def test_streaming_reduction_keeps_batch_results(spark, tmp_path):
     q = windowed_reduce(stream, "sum", "ts", "50 seconds", "1 second", ["idx"]).writeStream.format("memory").queryName("sums").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     assert q.awaitTermination(90)
     assert spark.table("sums").agg(F.sum("val")).first()[0] == sum(range(100))
+
+
+def test_effective_diameter_against_bfs(spark):
+    from rowmesh import catalogue
+    from tests.conftest import SF
+
+    near = {}
+    for r in catalogue.arcs(spark, SF).collect():
+        near.setdefault(r["src"], set()).add(r["dst"])
+    within = [0] * len(near)
+    for v in near:
+        seen, last, t = {v}, {v}, 0
+        while last:
+            within[t] += len(last)
+            last = {w for u in last for w in near[u]} - seen
+            seen |= last
+            t += 1
+    upto = [sum(within[: t + 1]) for t in range(len(within))]
+    goal = 0.9 * upto[-1]
+    t = next(t for t, n in enumerate(upto) if n >= goal)
+    exact = t - 1 + (goal - upto[t - 1]) / (upto[t] - upto[t - 1])
+    found = catalogue.QUERIES["effective_diameter"](spark, SF).first()[0]
+    assert exact > 3 and abs(found - exact) < 0.6, (found, exact)
