@@ -164,3 +164,16 @@ def test_effective_diameter_against_bfs(spark):
     exact = t - 1 + (goal - upto[t - 1]) / (upto[t] - upto[t - 1])
     found = catalogue.QUERIES["effective_diameter"](spark, SF).first()[0]
     assert exact > 3 and abs(found - exact) < 0.6, (found, exact)
+
+
+def test_mesh_dual_has_every_node(spark):
+    from rowmesh import catalogue
+    from tests.conftest import SF
+
+    elems = {}
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_suppkey").collect():
+        elems.setdefault(r[0], set()).add(r[1])
+    want = {(a, b) for nodes in elems.values() for a in nodes for b in nodes if a != b}
+    got = [(r["src"], r["dst"]) for r in catalogue.QUERIES["mesh_dual"](spark, SF).select("src", "dst").collect()]
+    print("mesh_dual rows", len(got), "of", len(want))
+    assert len(got) == len(set(got)) and set(got) == want
