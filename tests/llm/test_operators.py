@@ -389,18 +389,51 @@ def test_top_k(spark):
     rng = np.random.default_rng(4)
     v = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(300, None), (301, [1.0, None]), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (304, [])]
     v += [(40, v[40][1]), (20, [0.0] * 8), (305, [1.0, 2.0]), (306, [1e9] * 8)] + [(400 + i, v[7][1]) for i in range(30)]
+    v += [(2**62 + 1, v[3][1]), (2**62 + 3, v[3][1]), (None, v[3][1]), (None, v[9][1]), (2**62 + 16, v[5][1])]
     df = spark.createDataFrame(v, "vec_id long, embedding array<double>").withColumn("row", F.lit(1))
-    got = topk.top_k(df, F.col("vec_id") % 20 == 0).collect()
     good = [(i, [int(np.floor(64 * x)) for x in e] + [0] * (8 - len(e))) for i, e in v if e and all(x is not None and np.isfinite(x) for x in e)]
-    want = []
-    for q, (i, e) in enumerate(good):
-        if i % 20 == 0:
-            s = sorted((-sum(a * b for a, b in zip(e, f)), j) for r, (j, f) in enumerate(good) if r != q)[:20]
-            want += [(i, k + 1, j, -x) for k, (x, j) in enumerate(s)]
-    assert sorted(map(tuple, got)) == sorted(want)
+    for asks, picked in (((F.col("vec_id") % 20 == 0), lambda i: i is not None and i % 20 == 0), (F.col("vec_id").isNull() | (F.col("vec_id") > 2**61), lambda i: i is None or i > 2**61)):
+        got = topk.top_k(df, asks).collect()
+        want = []
+        for q, (i, e) in enumerate(good):
+            if picked(i):
+                s = sorted((-sum(a * b for a, b in zip(e, f)), j is not None, j or 0) for r, (j, f) in enumerate(good) if r != q)[:20]
+                want += [(i, k + 1, j if some else None, -x) for k, (x, some, j) in enumerate(s)]
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and want
     assert topk.top_k(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_stops_early_and_stays_exact():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 32))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    dense = np.floor(64 * (centres[rng.integers(0, 40, 6000)] + 0.01 * rng.normal(size=(6000, 32)))).astype(np.int64)
+    sparse = (rng.integers(1, 60, (6000, 32)) * (rng.random((6000, 32)) < 0.06)).astype(np.int64)
+    uneven = np.floor(64 * rng.normal(size=(6000, 32)) * 0.5 ** np.arange(32)).astype(np.int64)
+    for v, share in ((dense, 0.7), (sparse, 0.2), (uneven, 0.2)):
+        block = topk.Block(np.arange(6000), np.arange(6000), v)
+        picked = np.flatnonzero((v != 0).any(axis=1))[:60]
+        for r in picked:
+            at, scores, _ = block.search(int(r), v[r], 20)
+            s = v @ v[r]
+            best = [i for i in np.lexsort((np.arange(6000), -s)) if i != r][:20]
+            assert at.tolist() == best and scores == s[best].tolist()
+        assert topk.shares_scored(v, picked).mean() < share
+    alone = np.floor(64 * rng.normal(size=(4000, 64))).astype(np.int64)  # nothing is near anything: no exact search can stop
+    assert topk.shares_scored(alone, np.arange(10)).min() > 0.9
+
+
+def test_greatest_product_is_the_constrained_maximum():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        w, edge = rng.random(5) + 0.1, rng.normal(size=5)
+        norm = float(np.sqrt((np.minimum(edge, 0) ** 2).sum())) + rng.random() * 2
+        best, _ = topk.greatest_product(w, edge, norm)
+        x = np.minimum(edge, rng.normal(size=(20000, 5)) * rng.random((20000, 1)) * 2)
+        x = x[(x**2).sum(axis=1) <= norm**2]
+        assert best <= w @ edge + 1e-9 and (not len(x) or (x @ w).max() <= best + 1e-9)
+
+
 # --- words -----------------------------------------------------------------------------------------------------------
 
 
