@@ -254,6 +254,7 @@ def test_matching_statistics():
 def test_warc(spark, tmp_path):
     big = "<p>é " + "word " * 300_000
     pages = [(1, "http://a/", "<b>x</b>"), (2, None, "<b>x</b>"), (3, "http://b/\r\nX: y", None), (4, "u", ""), (5, "u", big), (5, "u", big), (6, "u", "once"), (None, "u", "once")]
+    pages += [(2**62 + 1, "u", "large"), (2**62 + 3, "u", "large"), (2**62 + 3, "v", "other"), (None, "u", "alone"), (None, "u", "alone"), (7, "u", "large")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload_digest", F.lit("clash"))
     index = warc.write_archives(df, str(tmp_path / "w"))
     got = warc.read_archives(index).collect()
@@ -263,7 +264,7 @@ def test_warc(spark, tmp_path):
     want = []
     for p, _, h in pages:
         raw = (h or "").encode()
-        first = p == top[h or ""]
+        first = (-1 if p is None else p) == top[h or ""]
         want.append((p, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if first else "revisit", None if first else top[h or ""], raw if first else None))
     out = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"])) for r in got]
     assert sorted(out, key=str) == sorted(want, key=str)
@@ -271,6 +272,11 @@ def test_warc(spark, tmp_path):
         assert warc.read_at(r["bundle"], r["frame_offset"], r["frame_bytes"], r["record_offset"], r["record_bytes"])[0] == r["page_id"]
         assert (r["frame_offset"], r["frame_bytes"]) in {(a, c) for a, c, _ in warc.read_seek_table(r["bundle"])}
     assert warc.read_archives(warc.write_archives(df.where("false"), str(tmp_path / "e"))).count() == 0
+    assert index.select("record_id").distinct().count() == len(pages)
+    named = {r["record_id"] for r in index.collect()}
+    first = index.where("page_id = 1").first()
+    raw = warc.zstandard.ZstdDecompressor().decompress(warc._read(first["bundle"], first["frame_offset"], first["frame_bytes"]))
+    assert any(f"WARC-Refers-To: {i}".encode() in raw for i in named)
     apart = warc.read_archives(warc.write_archives(df, str(tmp_path / "m"), revisit_bytes=100), payloads=False)
     assert {r["page_id"] for r in apart.where("record_type = 'revisit'").collect()} <= {5}
 
