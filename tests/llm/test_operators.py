@@ -111,6 +111,8 @@ def test_targets_are_the_water_level(spark):
         free -= over
     want |= {k: weights[k] * level for k in free}
     assert {k: round(v, 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()}
+    alike = spark.createDataFrame([(f"s{i}", 100) for i in range(6)], "source string, source_size long")
+    assert [round(r["target"], 6) for r in mixing.allocate(alike, (1, 5)).orderBy("source").collect()] == [33.333333, 166.666667] * 3
 
 
 def test_mix(docs, rows, none):
@@ -126,6 +128,39 @@ def test_mix(docs, rows, none):
     assert mixing.mix(none).count() == 0 and mixing.resample(none).count() == 0
 
 
+def test_rows_that_share_key_and_text_are_split_at_the_target(spark):
+    same = [(None, "w " * 10, "a")] * 40 + [(7, "x " * 10, "a")] * 20
+    df = spark.createDataFrame([*same, *[(i, "z " * 50, "b") for i in range(100, 130)]], "doc_id long, text string, source string")
+    for parts in (1, 4):
+        got = mixing.mix(df.repartition(parts), weights=(1, 3)).collect()
+        by = {s: (sum(r["taken"] for r in got if r["source"] == s), next(r["target"] for r in got if r["source"] == s)) for s in "ab"}
+        assert abs(by["a"][0] - by["a"][1]) <= 10 and abs(by["b"][0] - by["b"][1]) <= 50 and by["a"][1] == 525
+        again = mixing.resample(df.repartition(parts), weights=(1, 3)).collect()
+        assert sum(len(words(r["text"])) for r in again) == by["a"][0] + by["b"][0]
+
+
+def test_inclusion_frequencies_are_the_probabilities(spark):
+    sizes = [1, 2, 5, 9, 16, 25, 40, 64, 100, 150, 220, 400]
+    docs = spark.createDataFrame([(1000 * s + i, "w " * n, f"{s:04d}") for s in range(240) for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, weights=(1, 5)).select((F.col("doc_id") % 1000).alias("i"), "size", (F.col("doc_id") / 1000 % 2).cast("int").alias("half"), "taken", "target", "source_size").toPandas()
+    for half, part in got.groupby("half"):
+        target, total = part["target"].iloc[0], part["source_size"].iloc[0]
+        whole, left = divmod(target, total)
+        lean, sure = [int(mixing.FINE * n**0.5) for n in sizes], set()
+        while True:
+            scale = (left - sum(sizes[i] for i in sure)) / sum(sizes[i] * lean[i] for i in range(12) if i not in sure)
+            more = {i for i in range(12) if i not in sure and scale * lean[i] > 1}
+            if not more:
+                break
+            sure |= more
+        want = [1.0 if i in sure else scale * lean[i] for i in range(12)]
+        assert len({round(x, 3) for x in want}) > 8
+        for i, own in part.groupby("i"):
+            often = (own["taken"] / own["size"] - whole).mean()
+            assert abs(often - want[i]) < 0.16, (half, i, often, want[i])
+        assert abs((part["taken"].sum() / part["target"].sum() * 12) - 1) < 0.03
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------------
 
 
