@@ -140,25 +140,24 @@ def test_rows_that_share_key_and_text_are_split_at_the_target(spark):
 
 
 def test_inclusion_frequencies_are_the_probabilities(spark):
-    sizes = [1, 2, 5, 9, 16, 25, 40, 64, 100, 150, 220, 400]
-    docs = spark.createDataFrame([(1000 * s + i, "w " * n, f"{s:04d}") for s in range(240) for i, n in enumerate(sizes)], "doc_id long, text string, source string")
-    got = mixing.mix(docs, weights=(1, 5)).select((F.col("doc_id") % 1000).alias("i"), "size", (F.col("doc_id") / 1000 % 2).cast("int").alias("half"), "taken", "target", "source_size").toPandas()
+    sizes = [n for n in (1, 2, 5, 9, 16, 25, 40, 64, 100, 150, 220, 400) for _ in range(8)]
+    docs = spark.createDataFrame([(1000 * s + i, "w " * n, f"{s:04d}") for s in range(100) for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, weights=(1, 8)).withColumn("half", (F.col("doc_id") / 1000 % 2).cast("int")).toPandas()
     for half, part in got.groupby("half"):
         target, total = part["target"].iloc[0], part["source_size"].iloc[0]
         whole, left = divmod(target, total)
-        lean, sure = [int(mixing.FINE * n**0.5) for n in sizes], set()
+        sure: set[int] = set()
         while True:
-            scale = (left - sum(sizes[i] for i in sure)) / sum(sizes[i] * lean[i] for i in range(12) if i not in sure)
-            more = {i for i in range(12) if i not in sure and scale * lean[i] > 1}
+            free = [n for n in sizes if n not in sure]
+            scale = (left - sum(n for n in sizes if n in sure)) / sum(n * int(mixing.FINE * n**0.5) for n in free)
+            more = {n for n in free if scale * int(mixing.FINE * n**0.5) > 1}
             if not more:
                 break
             sure |= more
-        want = [1.0 if i in sure else scale * lean[i] for i in range(12)]
-        assert len({round(x, 3) for x in want}) > 8
-        for i, own in part.groupby("i"):
-            often = (own["taken"] / own["size"] - whole).mean()
-            assert abs(often - want[i]) < 0.16, (half, i, often, want[i])
-        assert abs((part["taken"].sum() / part["target"].sum() * 12) - 1) < 0.03
+        for n, own in part.groupby("size"):
+            want = 1.0 if n in sure else scale * int(mixing.FINE * n**0.5)
+            assert abs((own["taken"] / n - whole).mean() - want) < 0.1, (half, n, want)
+        assert bool(sure) == (half == 1) and abs(part["taken"].sum() / (50 * target) - 1) < 0.002
 
 
 # --- 3 ---------------------------------------------------------------------------------------------------------------
