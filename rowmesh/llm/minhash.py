@@ -24,28 +24,36 @@ from rowmesh.llm.text import blocks, shingle_hashes, utf8, word_hashes
 WORDS = 5
 BINS = 512
 BITS = 4
-#: Bytes of text that are fingerprinted at once.
-BLOCK = 1 << 20
+#: Bytes of text that are fingerprinted at once, and what a text counts beside its own bytes: its bins take room too.
+BLOCK, EACH = 1 << 20, 1 << 11
+#: Bytes of text of a range of keys, about: what one task of the comparison with the next document reads.
+RANGE = 1 << 25
 
 _ORDER = np.argsort(np.random.Generator(np.random.PCG64(97)).random((BINS, BINS)), axis=1)
-_RANK = np.argsort(_ORDER, axis=1).astype(np.int32)
-_TURNS = 24
+_RANK = np.argsort(_ORDER, axis=1).astype(np.int16)
+#: Texts of at most so many full bins are densified by the ranks of these; the others bin by bin along the orders.
+_FEW = 48
 
 
 def densify(least: np.ndarray, full: np.ndarray) -> np.ndarray:
     """Fills the empty bins of texts x bins; texts without a full bin stay as they are."""
     out = least.copy()
-    text, bin_ = np.nonzero(~full & full.any(axis=1, keepdims=True))
-    for turn in range(_TURNS):
-        if not len(text):
-            return out
+    held = full.sum(axis=1)
+    for k in np.unique(held[(held > 0) & (held <= _FEW)]):  # texts of equally many full bins at once
+        texts = np.flatnonzero(held == k)
+        own = np.nonzero(full[texts])[1].reshape(-1, k)
+        for i in range(0, len(texts), max(1, 4096 // k)):
+            part = own[i : i + max(1, 4096 // k)]
+            donor = np.take_along_axis(part, _RANK[:, part].argmin(axis=2).T, axis=1)
+            rows = texts[i : i + len(part), None]
+            out[rows, np.arange(BINS)] = np.where(full[rows[:, 0]], least[rows[:, 0]], least[rows, donor])
+    text, bin_ = np.nonzero(~full & (held > _FEW)[:, None])
+    turn = 0
+    while len(text):  # every order holds a full bin
         donor = _ORDER[bin_, turn]
         hit = full[text, donor]
         out[text[hit], bin_[hit]] = least[text[hit], donor[hit]]
-        text, bin_ = text[~hit], bin_[~hit]
-    for t in np.unique(text):
-        empty, own = bin_[text == t], np.flatnonzero(full[t])
-        out[t, empty] = least[t, own[_RANK[np.ix_(empty, own)].argmin(axis=1)]]
+        text, bin_, turn = text[~hit], bin_[~hit], turn + 1
     return out
 
 
@@ -97,40 +105,64 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         for b in batches:
             raw = [utf8(t) for t in b[text]]
             found: list[str] = []
-            for part in blocks([len(r) for r in raw], BLOCK):
+            for part in blocks([len(r) + EACH for r in raw], BLOCK):
                 found += pack(sketch(raw[part]))
             yield pd.DataFrame({key: b[key], "fingerprint": found})
 
     return show_nulls(hide_nulls(only(docs, key, text), key).mapInPandas(run, f"`{key}` {kind}, fingerprint string"), key)
 
 
+def _place(key: str, text: str):  # noqa: ANN202
+    """Rows' order: by key, null first as the least long, then by the text's hash."""
+    return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
+def _bounds(quantiles: list[int]) -> list[tuple[int, int]]:
+    """Where parts begin, as (key, hash): a key that several quantiles fall on is cut by hash into as many parts."""
+    out: list[tuple[int, int]] = []
+    for k in sorted(set(quantiles)):
+        times = quantiles.count(k)
+        out += [(k, -(1 << 63) + (i << 64) // times) for i in range(times)]
+    return out
+
+
 def in_order(docs: DataFrame, key: str, text: str, ranges: int) -> DataFrame:
-    """Rows (key, text, part, guest) such that each part, sorted by key, text and guest, holds a range of keys and then,
-    as its guest, the first row of the next part (after the last: of the first). Parts are cut at approximate quantiles
-    of the key, whose number is bounded by ``ranges``; rows of one key share a part.
+    """Rows (key, text, part, at, h, guest) such that each part, sorted by guest, at and h, holds a range of keys and then,
+    as its guest, the first row of the next part (after the last: of the first). Parts are cut at approximate quantiles of
+    the key, and inside a key that holds several of them by the text's hash.
     """
-    cuts = sorted(set(docs.stat.approxQuantile(key, [i / ranges for i in range(1, ranges)], 1 / (8 * ranges))))
-
-    def tree(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"if(`{key}` < {int(cuts[mid])}L, {tree(lo, mid)}, {tree(mid + 1, hi)})"
-
-    part = F.expr(f"if(`{key}` is null, 0, {tree(0, len(cuts))})")
-    rows = only(docs, key, text).withColumn("part", part)
-    # The first row of each part: its key from a narrow pass, then its text.
-    heads = rows.groupBy("part").agg(F.min(F.struct(F.col(key).isNotNull().alias("n"), F.col(key).alias("k"))).alias("h")).select("part", "h.k").collect()
-    order = sorted(h["part"] for h in heads)
-    host = {p: order[i - 1] for i, p in enumerate(order)}
+    at, h = _place(key, text)
+    rows = only(docs, key, text).withColumns({"at": at, "h": h})
+    cuts = rows.stat.approxQuantile("at", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
+    bounds = _bounds([max(-(1 << 63), min(int(c), (1 << 63) - 1)) for c in cuts])
+    # Two steps, each over a short list of constants: the run of bounds, then the place in it.
+    width = max(1, int(len(bounds) ** 0.5))
+    runs = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    pair = lambda b: f"struct({_long(b[0])}, {_long(b[1])})"
+    passed = lambda found: F.size(F.filter(found, lambda b: b <= F.struct(F.col("at").alias("col1"), F.col("h").alias("col2"))))
+    if bounds:
+        run = passed(F.expr(f"array({', '.join(pair(r[0]) for r in runs)})"))
+        inner = F.expr(f"array({', '.join('array(' + ', '.join(map(pair, r)) + ')' for r in runs)})")
+        part = F.when(run == 0, F.lit(0)).otherwise((run - 1) * width + passed(F.element_at(inner, run)))
+    else:
+        part = F.lit(0)
+    rows = rows.withColumn("part", part)
+    # The first row of each part: its place from a narrow pass, then its text.
+    heads = rows.groupBy("part").agg(F.min(F.struct("at", "h")).alias("m")).select("part", "m.*").collect()
     if not heads:
         return rows.withColumn("guest", F.lit(False))
-    small = docs.sparkSession.createDataFrame([(h["part"], h["k"], host[h["part"]]) for h in heads], "part int, k bigint, host int")
-    first = rows.join(F.broadcast(small), (rows["part"] == small["part"]) & rows[key].eqNullSafe(small["k"])).groupBy("host").agg(F.min(F.struct(F.coalesce(text, F.lit("")).alias("t"), F.col(key).alias("k"))).alias("h"))
-    guests = first.select(F.col("h.k").alias(key), F.col("h.t").alias(text), F.col("host").alias("part"), F.lit(True).alias("guest"))
+    order = sorted(r["part"] for r in heads)
+    host = {p: order[i - 1] for i, p in enumerate(order)}
+    small = docs.sparkSession.createDataFrame([(r["at"], r["h"], host[r["part"]]) for r in heads], "a bigint, b bigint, host int")
+    first = rows.join(F.broadcast(small), (rows["at"] == small["a"]) & (rows["h"] == small["b"])).groupBy("host").agg(F.min(F.struct(F.coalesce(text, F.lit("")).alias("t"), F.col(key).alias("k"), "at", "h")).alias("r"))
+    guests = first.select(F.col("r.k").alias(key), F.col("r.t").alias(text), "r.at", "r.h", F.col("host").alias("part"), F.lit(True).alias("guest"))
     return rows.withColumn("guest", F.lit(False)).unionByName(guests)
 
 
+def _long(x: int) -> str:
+    return f"cast('{x}' as bigint)"
+
+
 def edited(text: str, after: str) -> str:
     """The text with its last quarter of code points replaced by the first as many of the other, or all of them."""
     k = len(text) // 4
@@ -140,15 +172,17 @@ def edited(text: str, after: str) -> str:
 def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document by ascending key.
 
-    Null texts are empty; null keys come first; rows of one key follow each other by text. A lone document is its own
-    next one. The table is cut into ranges of the key and each range is read in order, one batch at a time: memory is
-    bounded by a batch and one text.
+    Null texts are empty; null keys come first; rows of one key follow each other by their texts' xxhash64. A lone document
+    is its own next one; an empty table gives no rows; further columns are ignored. The table is cut into ranges of key and
+    hash and each range is read in order, one batch at a time: memory is bounded by a batch and one text.
     """
-    ranges = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2)
+    spark = docs.sparkSession
+    held = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).first()[0] or 0
+    ranges = max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // RANGE))
     kind = docs.schema[key].dataType.simpleString()
     parts = in_order(docs, key, text, ranges)
     parts = parts.withColumn(text, F.coalesce(text, F.lit("")))
-    parts = hide_nulls(parts, key).repartition("part").sortWithinPartitions("part", "guest", key, text)
+    parts = hide_nulls(parts, key).repartition(ranges, "part").sortWithinPartitions("part", "guest", "at", "h", text).select("part", "guest", key, text)
 
     def answer(rows: list[tuple], head: tuple) -> pd.DataFrame:
         """rows: (part, guest, key, text) whose next ones are the row after each, and head after the last."""
@@ -181,7 +215,7 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
                     yield answer(held, row)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[3]) + EACH
         if held:  # a part ends with its guest, which has no answer of its own
             yield answer(held, held[-1])
 
@@ -190,4 +224,5 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def op3_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are empty, null doc_ids come first and stay null; an empty table gives no rows."""
     return compare_with_next(table(spark, sf_dir, "documents"))

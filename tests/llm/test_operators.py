@@ -165,7 +165,8 @@ def test_inclusion_frequencies_are_the_probabilities(spark):
 
 def test_fingerprints(docs, rows, none):
     got = minhash.compare_with_next(docs)
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    h = lambda t: (lambda x: x - (1 << 64) if x >> 63 else x)(xxhash.xxh64_intdigest((t or "").encode(), 42))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h(r[1])))
     texts = [r[1] or "" for r in order]
     want = [(r[0], len(t), hashlib.sha256(minhash.edited(t, n).encode()).hexdigest()) for r, t, n in zip(order, texts, texts[1:] + texts[:1])]
     out = got.collect()
@@ -177,6 +178,45 @@ def test_fingerprints(docs, rows, none):
     assert minhash.compare_with_next(none).count() == 0
 
 
+def test_a_key_of_many_rows_is_cut_by_hash(spark):
+    rng = random.Random(21)
+    rows = [(5, prose(rng, rng.randint(1, 12))) for _ in range(300)] + [(i, prose(rng, 5)) for i in range(60)] + [(None, prose(rng, 4)) for _ in range(90)]
+    h = lambda t: (lambda x: x - (1 << 64) if x >> 63 else x)(xxhash.xxh64_intdigest(t.encode(), 42))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h(r[1]), r[1]))
+    want = sorted(((r[0], len(r[1]), hashlib.sha256(minhash.edited(r[1], n[1]).encode()).hexdigest()) for r, n in zip(order, order[1:] + order[:1])), key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in minhash.compare_with_next(df).collect()), key=str) == want
+    parts = {r["part"]: r["count"] for r in minhash.in_order(df, "doc_id", "text", 30).where("not guest").groupBy("part").count().collect()}
+    assert len(parts) > 20 and max(parts.values()) < 60
+
+
+def test_fingerprint_values():
+    rng = random.Random(4)
+    for text in ("", "one two", "a b c d e", prose(rng, 9), prose(rng, 40), prose(rng, 300), prose(rng, 5000)):
+        w, first = word_hashes([text.encode()])
+        spans = [w[i : i + 5] for i in range(max(1, len(w) - 4))] if len(w) else []
+        bins: dict[int, int] = {}
+        for span in spans:
+            x = int(minhash.shingle_hashes(span, np.array([0, len(span)]), 5)[0][0])
+            b = x >> 55
+            bins[b] = min(x, bins.get(b, x))
+        want = "".join(f"{bins[b if b in bins else next(d for d in minhash._ORDER[b].tolist() if d in bins)] & 15:x}" for b in range(512)) if bins else ""
+        assert minhash.pack(minhash.sketch([text.encode()])) == [want]
+
+
+def test_many_short_texts_are_quick_and_small():
+    import time
+    import tracemalloc
+
+    texts = [b"some text %d" % i for i in range(20_000)] + [b""] * 20_000
+    began = time.perf_counter()
+    tracemalloc.start()
+    for part in minhash.blocks([len(t) + minhash.EACH for t in texts], minhash.BLOCK):
+        minhash.sketch(texts[part])
+    assert tracemalloc.get_traced_memory()[1] < 200e6 and time.perf_counter() - began < 60
+    tracemalloc.stop()
+
+
 def test_likeness_estimates_jaccard():
     rng = random.Random(1)
     a = [prose(rng, 1) + str(i) for i in range(2000)]
