@@ -465,6 +465,9 @@ def test_language(spark, docs, rows, none):
     by = {(r["doc_id"], r["lang_pred"]) for r in out}
     assert all((i, k) in by for i, _, k in texts[:120]) and (900, "und") in by and (901, "und") in by and (902, "und") in by and (903, "aa") in by
     assert language.identify(docs, language.train(docs)).count() == len(rows)
+    many = [(i, " ".join(chr(97 + i % 26) * 2 + chr(97 + i // 26) for _ in range(20)), f"l{i:03d}") for i in range(300)]
+    all_of = language.train(spark.createDataFrame(many, "doc_id long, text string, lang string"))
+    assert all_of.languages == [k for _, _, k in many] and language.identify(spark.createDataFrame(many, "doc_id long, text string, lang string"), all_of).join(spark.createDataFrame(many, "doc_id long, t string, lang string"), "doc_id").where("lang = lang_pred").count() > 290
     assert language.identify(none, language.train(none)).count() == 0
 
 
@@ -481,7 +484,16 @@ def test_forward_sums_all_segmentations():
 
     for w in ("a", "ab", "abab", "bca"):
         assert abs(np.log(brute("▁" + w)) - language.word_scores([w], known, table)[0, 0]) < 1e-9
-    used = language.expectation(["ab"], np.ones((1, 1)), known, table)[:, 0]
+    long = "abcab" * 300
+    a = [1.0]
+    for end in range(1, len(long) + 2):  # in whole numbers' stead: logs of the same sums
+        s = "▁" + long
+        terms = [a[end - n] + np.log(p[number[s[end - n : end]], 0]) for n in (1, 2) if n <= end and s[end - n : end] in number]
+        terms += [a[end - 1] + np.log(1e-7)] if s[end - 1] not in number else []
+        a.append(np.logaddexp.reduce(terms) if end > 1 else np.log(0.1) + 1.0)
+    assert abs(a[-1] - 1.0 - language.word_scores([long], known, table)[0, 0]) < 1e-6
+    assert abs(language.run_score("▁abab", known, table, block=2)[0] - language.word_scores(["abab"], known, table)[0, 0]) < 1e-12
+    used = language.expectation(["▁ab"], np.ones((1, 1)), known, table)[:, 0]
     assert abs(used[0] + used[4] - 1) < 1e-9  # each segmentation has the mark once
 
 
