@@ -1,12 +1,15 @@
 """SimHash near-duplicate detection by segment-popcount embedding.
 
-A 64-bit fingerprint is cut into 32 segments of two bits; the vector of the segments' bit counts is its embedding. The
-Manhattan distance of two embeddings is a lower bound of the Hamming distance, so a link (3 differing bits or fewer)
-means a Manhattan distance of at most 3, hence of at most 1 over one of the two halves of 16 segments. The grid has one
-cell for each half's exact vector of counts; every fingerprint stands in its two home cells and looks into them and
-into the cells one step up in one coordinate (of two fingerprints a step apart just one looks into the other's). That
-range join is an equi-join of cells, salted by nothing: only distinct fingerprints take part, so copies never meet.
-Whatever it finds is verified by the exact number of differing bits.
+A 64-bit fingerprint is cut into segments; the vector of the segments' bit counts is its embedding. The Manhattan distance
+of two embeddings is a lower bound of the Hamming distance, so a link (3 differing bits or fewer) means a Manhattan
+distance of at most 3, hence of at most 1 over one of the two halves. The grid has one cell for each half's exact vector
+of counts; every fingerprint stands in its two home cells and looks into them and into the cells one step up in one
+coordinate (of two fingerprints a step apart just one looks into the other's). That range join is an equi-join of cells:
+only distinct fingerprints take part, so copies never meet. Whatever it finds is verified by the exact number of
+differing bits.
+
+Segments of two bits make about 7 million cells a half that random fingerprints fill evenly, segments of one bit 4 billion
+for a third more probes: the width is chosen by the number of distinct fingerprints, so that cells stay nearly empty.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from rowmesh.llm.text import utf8
 WORDS = 3
 NEAR = 3
 SEED = 42
+#: Distinct fingerprints up to which segments have two bits; a fingerprint then meets a handful of others by chance.
+FEW = 2_000_000
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -69,11 +74,14 @@ def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", also: tupl
     return show_nulls(hide_nulls(only(docs, key, text, *also), key).mapInPandas(run, f"{kinds}fp long"), key)
 
 
-def near_pairs(fps: DataFrame) -> DataFrame:
-    """(u, v): every pair of distinct fingerprints of the column fp that differ in 3 bits or fewer, once or twice."""
+def near_pairs(fps: DataFrame, width: int | None = None) -> DataFrame:
+    """(u, v): every pair of distinct fingerprints of the column fp that differ in 3 bits or fewer, once or twice. width:
+    bits of a segment, 1 or 2; by default as the number of fingerprints asks for. The pairs are the same for both."""
+    width = width or (2 if fps.count() <= FEW else 1)
     half = F.expr("stack(2, 0, fp & 4294967295L, 1, shiftrightunsigned(fp, 32))").alias("half", "bits")
-    cells = fps.select("fp", half).select("fp", "half", F.expr("(bits & 1431655765L) + (shiftright(bits, 1) & 1431655765L)").alias("cell"))
-    steps = F.expr("filter(transform(sequence(0, 15), i -> if((shiftright(cell, 2 * i) & 3L) < 2L, cell + shiftleft(1L, 2 * i), -1L)), c -> c >= 0)")
+    count = "(bits & 1431655765L) + (shiftright(bits, 1) & 1431655765L)" if width == 2 else "bits"
+    cells = fps.select("fp", half).select("fp", "half", F.expr(count).alias("cell"))
+    steps = F.expr(f"filter(transform(sequence(0, {32 // width - 1}), i -> if((shiftright(cell, {width} * i) & {2**width - 1}L) < {width}L, cell + shiftleft(1L, {width} * i), -1L)), c -> c >= 0)")
     look = cells.select(F.col("fp").alias("v"), "half", F.col("cell").alias("home"), F.explode(F.concat(F.array("cell"), steps)).alias("cell"))
     met = cells.select(F.col("fp").alias("u"), "half", "cell").join(look, ["half", "cell"])
     return met.where((F.col("cell") != F.col("home")) | (F.col("u") < F.col("v"))).where(F.expr(f"u <> v and bit_count(u ^ v) <= {NEAR}")).select("u", "v")
@@ -116,4 +124,5 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and blank texts have the fingerprint zero; a component of null doc_ids alone has a null id."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -279,9 +279,9 @@ def test_pairs_are_found_and_exact(spark):
     base = [rng.getrandbits(64) for _ in range(40)]
     fps = {b ^ sum(1 << p for p in rng.sample(range(64), k)) for b in base for k in (0, 1, 2, 3, 4)}
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
-    got = {tuple(sorted((r["u"], r["v"]))) for r in simhash.near_pairs(spark.createDataFrame(signed, "fp long")).collect()}
     want = {tuple(sorted((a, b))) for (a,) in signed for (b,) in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
-    assert got == want
+    for width in (None, 1, 2):
+        assert {tuple(sorted((r["u"], r["v"]))) for r in simhash.near_pairs(spark.createDataFrame(signed, "fp long"), width).collect()} == want
 
 
 # --- 5 ---------------------------------------------------------------------------------------------------------------
