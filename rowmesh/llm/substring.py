@@ -4,11 +4,13 @@ Sharding is by content. A window (35 words) belongs to the least hash of its 8-w
 of one anchor is a fragment. Equal windows have equal anchors, so all their occurrences meet in one shard, and every
 window is in exactly one fragment. Three sieves and folds keep what is shuffled small, none of them loses an occurrence:
 anchors that stand at one place only are left out (a bit table of bounded size, built from the counted anchors and sent
-to the workers; where it fills up it just lets more through), equal fragments are folded into one with a count before
-anything wide moves, and anchors with very many different fragments are split again by minima of further hash functions.
+to the workers, keeps most of them from ever moving; what it lets through, which is all once it is full, is told by exact
+counts before any text moves), equal fragments are folded into one with a count, and anchors with very many different
+fragments are split again by minima of further hash functions.
 
 A shard's distinct fragments make one text: its suffix array gives the Burrows-Wheeler transform, kept in a wavelet
-matrix of packed bits with rank counts. The shard's fragments are streamed through that index from right to left, all in
+matrix of packed bits with rank counts; beside it stand a byte of common prefix a suffix, two 16-bit distances to the
+parent interval's ends and a bit for fragments with copies. The shard's fragments are streamed through that index from right to left, all in
 step: backward search extends each match by a word as long as it has two occurrences, copies counted, and falls back to
 the parent interval where it hasn't. Where the matching statistic reaches the window's length, the window is reported.
 """
@@ -144,22 +146,54 @@ def common_prefixes(order: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
 
 
 def smaller_around(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the nearest smaller values before and after each value; the ends count as smaller."""
-    values, n = h.tolist(), len(h)
-    before, after, stack = [0] * n, [n - 1] * n, []
-    for i, v in enumerate(values):
-        while stack and values[stack[-1]] > v:
-            after[stack.pop()] = i
-        before[i] = (stack[-1] if values[stack[-1]] < v else before[stack[-1]]) if stack else 0
-        stack.append(i)
-    return np.array(before), np.array(after)
+    """Places of the nearest smaller values before and after each value; the ends count as smaller. Values are few: the
+    places of those below each are taken at once."""
+    n = len(h)
+    before, after = np.zeros(n, np.int64), np.full(n, n - 1, np.int64)
+    for v in np.unique(h)[1:]:
+        at, less = np.flatnonzero(h == v), np.flatnonzero(h < v)
+        k = np.searchsorted(less, at)
+        before[at] = less[np.maximum(k - 1, 0)]
+        after[at] = less[np.minimum(k, len(less) - 1)]
+    return before, after
+
+
+class Distances:
+    """Whole numbers from 0, of which most fit 16 bits; the others stand apart, by place."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.far = np.flatnonzero(values >= 0xFFFF).astype(np.int32)
+        self.wide = values[self.far].astype(np.int32)
+        self.near = np.minimum(values, 0xFFFF).astype(np.uint16)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = self.near[at].astype(np.int64)
+        over = np.flatnonzero(out == 0xFFFF)
+        if len(over):
+            out[over] = self.wide[np.searchsorted(self.far, at[over])]
+        return out
+
+
+class Bits:
+    """Packed bits with a 32-bit count of the ones before each 64-bit block."""
+
+    def __init__(self, bit: np.ndarray) -> None:
+        packed = np.packbits(bit.astype(np.uint8), bitorder="little")
+        self.packed = np.pad(packed, (0, -len(packed) % 8 + 8)).view("<u8")
+        self.counts = np.concatenate([[0], np.cumsum(np.bitwise_count(self.packed))[:-1]]).astype(np.int32)
+
+    def ones(self, i: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+        return self.counts[i >> 6] + np.bitwise_count(self.packed[i >> 6] & mask)
 
 
 class FMIndex:
-    """Backward search over fragments of words, with occurrences weighted by the fragments' copies.
+    """Backward search over fragments of words, with occurrences weighted by the fragments' copies, one or more.
 
-    Symbols: 0 ends each fragment (the ends are ordered by fragment), words follow. Levels of the wavelet matrix are
-    packed bits with a 32-bit count a 64-bit block: a symbol takes about one and a half bits a level.
+    Symbols: 0 ends each fragment (the ends are ordered by fragment), words follow. Levels of the wavelet matrix are packed
+    bits with counts, about one and a half bits a symbol and level; the rest of the index takes five bytes and a half a
+    symbol. The symbols themselves are kept for the fragments' own way through the index.
     """
 
     def __init__(self, frags: list[np.ndarray], weights: np.ndarray) -> None:
@@ -168,42 +202,42 @@ class FMIndex:
         self.vocabulary, symbol = np.unique(words, return_inverse=True)
         ends = np.cumsum(lengths + 1) - 1
         n, k = int(ends[-1]) + 1, len(frags)
-        text = np.zeros(n, np.int64)
+        text = np.zeros(n, np.int32)
         inside = np.ones(n, bool)
         inside[ends] = False
-        self.n, self.starts, self.lengths, self.symbols = n, ends - lengths, lengths, symbol + 1
-        text[inside] = self.symbols
-        full = text + k
+        self.n, self.starts, self.lengths = n, ends - lengths, lengths
+        text[inside] = symbol + 1
+        full = text.astype(np.int64) + k
         full[ends] = np.arange(k)
         order, ranks = suffix_ranks(full)
-        self.lcp = common_prefixes(order, ranks)
-        self.before, self.after = smaller_around(self.lcp)
-        weight = np.repeat(weights, lengths + 1)
-        self.weight = np.concatenate([[0], np.cumsum(weight[order])])
+        del full
+        lcp = common_prefixes(order, ranks)
+        del ranks
+        before, after = smaller_around(lcp)
+        place = np.arange(n + 1)
+        self.before, self.after = Distances(place - before), Distances(after - place)
+        del before, after
+        self.lcp = lcp.astype(np.uint8 if lcp.max(initial=0) < 256 else np.int32)
+        self.copied = Bits(np.repeat(weights > 1, lengths + 1)[order])
         bwt = text[order - 1]
         self.levels = max(1, int(text.max()).bit_length())
-        self.first = np.searchsorted(np.sort(text), np.arange(len(self.vocabulary) + 2))
+        self.first = np.searchsorted(np.sort(text), np.arange(len(self.vocabulary) + 2)).astype(np.int32)
         self.text = text
         self._wavelet(bwt)
 
     def _wavelet(self, s: np.ndarray) -> None:
-        self.bits, self.counts, self.zeros = [], [], []
+        self.bits, self.zeros = [], []
         for level in range(self.levels - 1, -1, -1):
             bit = (s >> level) & 1
-            packed = np.packbits(bit.astype(np.uint8), bitorder="little")
-            packed = np.pad(packed, (0, -len(packed) % 8 + 8)).view("<u8")
-            self.bits.append(packed)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed))[:-1]]).astype(np.int32))
+            self.bits.append(Bits(bit))
             self.zeros.append(int((bit == 0).sum()))
             s = np.concatenate([s[bit == 0], s[bit == 1]])
         every = np.arange(len(self.vocabulary) + 1)
-        self.base = self._descend(every, np.zeros(len(every), np.int64))
+        self.base = self._descend(every, np.zeros(len(every), np.int64)).astype(np.int32)
 
     def _descend(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        for level, (bits, counts, zeros) in enumerate(zip(self.bits, self.counts, self.zeros)):
-            block = i >> 6
-            mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-            ones = counts[block] + np.bitwise_count(bits[block] & mask)
+        for level, (bits, zeros) in enumerate(zip(self.bits, self.zeros)):
+            ones = bits.ones(i)
             i = np.where((c >> (self.levels - 1 - level)) & 1, zeros + ones, i - ones)
         return i
 
@@ -218,14 +252,15 @@ class FMIndex:
         k = len(self.lengths)
         lo, hi, size = np.zeros(k, np.int64), np.full(k, self.n, np.int64), np.zeros(k, np.int64)
         at, stop = self.starts + self.lengths - 1, self.starts
-        out = np.zeros(self.n, np.int64)
+        out = np.zeros(self.n, np.int32)
         while len(at):  # every fragment takes a step of its own: a word further, or one parent up
             a, b = self.extend(self.text[at], lo, hi)
-            good = self.weight[b] - self.weight[a] >= 2
-            depth = np.maximum(self.lcp[lo], self.lcp[hi])
+            good = (b - a >= 2) | ((b - a == 1) & (self.copied.ones(b) > self.copied.ones(a)))
+            low, high = self.lcp[lo].astype(np.int64), self.lcp[hi].astype(np.int64)
+            depth = np.maximum(low, high)
             root = depth == 0
-            up_lo = np.where(root, 0, np.where(self.lcp[lo] == depth, self.before[lo], lo))
-            up_hi = np.where(root, self.n, np.where(self.lcp[hi] == depth, self.after[hi], hi))
+            up_lo = np.where(root, 0, np.where(low == depth, lo - self.before[lo], lo))
+            up_hi = np.where(root, self.n, np.where(high == depth, hi + self.after[hi], hi))
             done = good | (size == 0)  # at the root nothing is left to shorten
             lo, hi = np.where(good, a, up_lo), np.where(good, b, up_hi)
             size = np.where(good, size + 1, np.where(done, 0, depth))
@@ -309,9 +344,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     found = written(keyed.mapInPandas(occurrences, occurrence), "occurrences")
     kinds = written(found.groupBy("anchor", "frag").agg(F.count("*").alias("copies"), F.min(F.struct("d", "t", "pos", "windows")).alias("at")).select("anchor", "frag", "copies", "at.*"), "fragments")
+    # What the sieve let through is told here: an anchor whose fragments stand at one place has no repeated window.
+    met = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all"), F.sum(F.col("windows") + (window - 1)).alias("words"))
+    met = cut(met.withColumn("lone", F.col("all") == 1).where("lone or kinds > %d" % HOT).select("anchor", "lone", "kinds", "words"))
     total = kinds.agg(F.sum(F.col("windows") + (window - 1))).first()[0] or 0
-    shards = max(1, -(-total // SHARD))
-    hot = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT)
+    shards = max(1, -(-(total - (met.where("lone").agg(F.sum("words")).first()[0] or 0)) // SHARD))
+    kinds = kinds.join(met.where("lone").select("anchor"), "anchor", "left_anti")
+    hot = met.where("not lone").select("anchor", "kinds")
     wanted = kinds.join(hot, "anchor", "left").groupBy("d", "t").agg(F.collect_list(F.struct("anchor", "frag", F.least("copies", F.lit(2)).cast("int").alias("copies"), "pos", "windows", F.coalesce("kinds", F.lit(0)).alias("kinds"))).alias("wanted"))
 
     piece = "shard int, anchor long, frag long, off int, copies int, words binary"
@@ -406,7 +445,9 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str | None = "n_chars", window: int = WINDOW) -> DataFrame:
     """The documents with the words that repeated windows cover taken out of their texts, and ``size``, if they have such a
-    column, set to the new text's code points. Texts that lose nothing stay as they are."""
+    column, set to the new text's code points. Texts that lose nothing, null ones too, stay as they are; a row that repeats
+    another counts as an occurrence elsewhere, so both lose their windows. An empty table gives no rows; further columns are
+    kept."""
     spans = repeated_spans(docs, key, text, window).select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("spans").alias("__spans"))
     joined = docs.join(spans, (F.coalesce(F.col(key).cast("long"), F.lit(_NONE)) == F.col("__d")) & (F.xxhash64(text) == F.col("__t")), "left")
 
@@ -423,4 +464,5 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null doc_ids stay null and null texts have no words."""
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
