@@ -1,22 +1,33 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 DataFrame expressions only.
 
-Every whole text is cut into statements (lines, and sentences within lines). A statement's terms are weighed by term
-frequency times the inverse document frequency that the template collection gives; a term of no template has that of no
-occurrence. The statement and template of the greatest cosine, at least THRESHOLD, give the file its license: as its
-header, wherever in the text it stands. A file with a license that is named like a licence file, or that has at most
-FILE_WORDS words, is a licence file of its directory. A file without a license of its own takes that of the nearest
-directory above it that has one.
-
-Statements are shuffled only where they can reach THRESHOLD: they hold one of the core terms, without which none can, and
-the part of their weight that lies on terms of templates is large enough (a cosine is at most that part's norm over the
-whole norm). Both are exact bounds, so nothing is lost, and few statements are shuffled.
+There are two collections of templates: notices of a sentence (short), and standard headers and whole licence texts (full).
+The latter are kept as counts of their terms, made from the public texts, in license_terms.json.
+
+Every whole text is cut into statements (lines, and sentences within lines) and paragraphs (lines between blank ones,
+joined, without comment marks); these and the text as a whole are the units that are compared with the short templates,
+wherever they stand. Paragraphs and texts as a whole are compared with the full ones, too. A unit's terms are weighed by
+1 + ln(frequency) times the inverse document frequency that the collection gives; a term of no template has that of no
+occurrence. The unit and template of the greatest cosine, at least THRESHOLD and of more than one common term, give the
+file its license.
+
+A licence file of its directory is a file with a license that is named like one, or whose text as a whole reaches
+THRESHOLD: it says nothing else. A file without a license of its own takes that of the nearest directory at or above its
+own that has a licence file.
+
+Units are shuffled only where they can reach THRESHOLD. Against short templates: they hold one of the core terms, without
+which none can, and the part of their weight that lies on terms of templates is large enough (a cosine is at most that
+part's norm over the whole norm). Both are exact bounds. Against full templates, a unit must hold one of the words that
+licences call themselves by (MARKS), as every full template does.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +37,12 @@ from rowmesh.llm.frame import cut, table
 THRESHOLD = 0.6
 #: Similarities are rounded to 6 digits; bounds leave room for that.
 SLACK = 1e-6
-FILE_WORDS = 64
-#: Stop words that op1_sql() still leaves out; scan() leaves out no term.
-COMMON = tuple("a about all an and any are as at be by can except file files for free from has have in is it its may no not of on or other that the this to under use used with without work you your".split())
 NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.\-_].*)?$"
-WORD = r"[^\x20\x09-\x0D]+"
-TEMPLATES: dict[str, tuple[str, ...]] = {
+MARKS = "(?i)licen[cs]|copyright|permission|warrant"
+COMMENT = r"\n[\x20\x09]*(//+|/?\*+/?|#+|--+|;+|%+|<!--)[\x20\x09]*"
+BLANK = r"(\n[\x20\x09\r]*){2,}"
+Templates = dict[str, tuple[str, ...]]
+NOTICES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"),
     "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
@@ -46,25 +57,26 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 
 
-def terms(statement: str, stop: tuple[str, ...] = ()) -> list[str]:
-    """Runs of a-z, 0-9 and inner points, lower-cased, without stop words; the twin of the expression in own_licenses()."""
-    return [t for t in re.sub(r"\.+( |$)", r"\1", re.sub(r"[^a-z0-9.]+", " ", statement.lower())).split(" ") if t and t not in stop]
+
+
+def terms(text: str) -> list[str]:
+    """Runs of a-z, 0-9 and inner points, lower-cased; the twin of the expression in _clean()."""
+    return [t for t in re.sub(r"\.+( |$)", r"\1", re.sub(r"[^a-z0-9.]+", " ", text.lower())).split(" ") if t]
 
 
 class Collection:
-    """The templates as unit vectors: names and weights by template, inverse frequencies by term. The core terms are those
-    without which no statement can reach the threshold; with no threshold, all."""
-
-    def __init__(self, templates: dict[str, tuple[str, ...]], threshold: float = 0.0, stop: tuple[str, ...] = ()) -> None:
-        rows = sorted((name, text) for name, texts in templates.items() for text in texts)
-        self.names = [name for name, _ in rows]
-        bags = [terms(text, stop) for _, text in rows]
-        n = len(bags)
-        self.idf = {t: math.log((1 + n) / (1 + sum(t in b for b in bags))) + 1 for b in bags for t in b}
+    """Templates, as bags of terms, made unit vectors: names and weights by template, inverse frequencies by term. The core
+    terms are those without which no unit can reach the threshold; with no threshold, all."""
+
+    def __init__(self, bags: list[tuple[str, dict[str, int]]], threshold: float = 0.0) -> None:
+        rows = sorted(bags, key=lambda r: (r[0], sorted(r[1].items())))
+        self.names, n = [name for name, _ in rows], len(rows)
+        seen = Counter(t for _, b in rows for t in b)
+        self.idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in sorted(seen.items())}
         self.unseen = math.log(1 + n) + 1
         self.vectors: list[dict[str, float]] = []
-        for b in bags:
-            raw = {t: b.count(t) * self.idf[t] for t in b}
+        for _, b in rows:
+            raw = {t: (1 + math.log(k)) * self.idf[t] for t, k in sorted(b.items())}
             norm = math.sqrt(sum(x * x for x in raw.values()))
             self.vectors.append({t: x / norm for t, x in raw.items()})
         # Terms common among templates, then short ones, are left out as long as what is left out can't reach the threshold.
@@ -72,7 +84,7 @@ class Collection:
         core, out = [], [0.0] * n
         for t in sorted(self.idf, key=lambda t: (self.idf[t], len(t), t)):
             more = [o + v.get(t, 0.0) ** 2 for o, v in zip(out, self.vectors)]
-            if max(more) < self.least:
+            if max(more, default=1.0) < self.least:
                 out = more
             else:
                 core.append(t)
@@ -82,75 +94,116 @@ class Collection:
         return "(?i)(^|[^a-z0-9])(" + "|".join(re.escape(t) for t in self.core) + ")([^a-z0-9]|$)"
 
 
+def _made(notices: Templates | None, threshold: float) -> tuple[Collection, Collection]:
+    """The collections of short and of full templates; with notices given, these are the short ones and there are no full
+    ones."""
+    kept = json.loads(Path(__file__).with_name("license_terms.json").read_text())
+    short = [(name, Counter(terms(t))) for name, texts in (notices or NOTICES).items() for t in texts]
+    if notices:
+        return Collection(short, threshold), Collection([])
+    return Collection(short, threshold), Collection([(n, b) for n, b in (*kept["headers"], *kept["texts"])])
+
+
 def within_reach(words: Column, made: Collection) -> Column:
-    """Whether the part of a statement's squared norm on terms of templates allows the threshold."""
+    """Whether the part of a unit's squared norm on terms of templates allows the threshold."""
     idf = F.create_map(*[F.lit(x) for pair in made.idf.items() for x in pair])
 
+    def weight(n: Column) -> Column:
+        return F.when(n > 0, (1 + F.log(n)) * (1 + F.log(n))).otherwise(F.lit(0.0))
+
     def add(a: Column, t: Column) -> Column:
         known = F.try_element_at(idf, t)
         w = F.coalesce(known, F.lit(made.unseen))
         run = F.when(t == a["t"], a["run"]).otherwise(F.lit(0.0))
-        more = w * w + F.lit(2.0) * run * w  # ((n + 1)w)^2 - (nw)^2
-        return F.struct(t.alias("t"), (run + w).alias("run"), (a["all"] + more).alias("all"), (a["part"] + F.when(known.isNotNull(), more).otherwise(F.lit(0.0))).alias("part"))
+        more = w * w * (weight(run + 1) - weight(run))
+        return F.struct(t.alias("t"), (run + 1).alias("run"), (a["all"] + more).alias("all"), (a["part"] + F.when(known.isNotNull(), more).otherwise(F.lit(0.0))).alias("part"))
 
     start = F.struct(F.lit("").alias("t"), F.lit(0.0).alias("run"), F.lit(0.0).alias("all"), F.lit(0.0).alias("part"))
-    return F.aggregate(F.array_sort(words), start, add, lambda a: a["part"] >= F.lit(made.least) * a["all"])
+    # A hair's breadth for sums in another order.
+    return F.aggregate(F.array_sort(words), start, add, lambda a: a["part"] * F.lit(1 + 1e-9) >= F.lit(made.least) * a["all"])
 
 
-def own_licenses(files: DataFrame, made: Collection, threshold: float) -> DataFrame:
-    """(path, hash, license, similarity) of files (path, hash, text) with a license of their own: that of the
-    best statement, earlier ones first among equals, then earlier templates."""
-    spark = files.sparkSession
+def _clean(text: Column) -> Column:
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9.]+", " "), r"\.+( |$)", "$1")
+    return F.array_remove(F.split(plain, " "), "")
+
+
+def _units(text: Column) -> Column:
+    """Of a text (kind, at, unit): statements, then paragraphs of more than a line, then the whole."""
+    unit = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), x.alias("unit"))
+    statements = F.split(F.regexp_replace(text, r"([.!?])[\x20\x09]+", "$1\n"), "[\r\n]+")
+    bare = F.regexp_replace(F.concat(F.lit("\n"), text), COMMENT, "\n")
+    paragraphs = F.transform(F.split(bare, BLANK), unit(1))
+    return F.concat(F.transform(statements, unit(0)), F.filter(paragraphs, lambda p: F.instr(p["unit"], "\n") > 0), F.array(unit(2)(bare, F.lit(0))))
+
+
+def _similar(bags: DataFrame, made: Collection, threshold: float) -> DataFrame:
+    """(path, hash, kind, at, k, similarity) of the units (path, hash, kind, at, term), one row a term, that reach it."""
+    spark, unit = bags.sparkSession, ["path", "hash", "kind", "at"]
     idf = F.broadcast(spark.createDataFrame(list(made.idf.items()), "term string, idf double"))
     vectors = F.broadcast(spark.createDataFrame([(t, k, w) for k, v in enumerate(made.vectors) for t, w in v.items()], "term string, k int, w double"))
-    names = spark.createDataFrame(list(enumerate(made.names)), "k int, license string")
-    lines = F.split(F.regexp_replace("text", r"([.!?])[\x20\x09]+", "$1\n"), "[\r\n]+")
-    held = files.where(F.col("text").rlike(made.core_pattern())).select("path", "hash", F.posexplode(lines).alias("at", "statement"))
-    clean = F.regexp_replace(F.regexp_replace(F.lower("statement"), "[^a-z0-9.]+", " "), r"\.+( |$)", "$1")
-    words = held.where(F.col("statement").rlike(made.core_pattern())).select("path", "hash", "at", F.array_remove(F.split(clean, " "), "").alias("words"))
-    bags = words.where(within_reach(F.col("words"), made)).select("path", "hash", "at", F.explode("words").alias("term"))
-    # Repeated rows double every count of a statement, which leaves its cosines as they are.
-    counts = bags.groupBy("path", "hash", "at", "term").agg(F.count("*").alias("n"))
-    weighed = counts.join(idf, "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(made.unseen)))
-    norms = weighed.groupBy("path", "hash", "at").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.join(vectors, "term").groupBy("path", "hash", "at", "k").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-    near = dots.join(norms, ["path", "hash", "at"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= threshold)
-    best = near.groupBy("path", "hash").agg(F.max(F.struct("similarity", (-F.col("at")).alias("at"), (-F.col("k")).alias("k"))).alias("b"))
-    return best.select("path", "hash", "b.similarity", (-F.col("b.k")).alias("k")).join(F.broadcast(names), "k").drop("k")
-
-
-def scan(files: DataFrame, path: Column, text: str = "text", templates: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD, file_words: int = FILE_WORDS) -> DataFrame:
+    counts = bags.groupBy(*unit, "term").agg(F.count("*").alias("n"))
+    weighed = counts.join(idf, "term", "left").withColumn("x", (1 + F.log(F.col("n"))) * F.coalesce("idf", F.lit(made.unseen)))
+    norms = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = weighed.join(vectors, "term").groupBy(*unit, "k").agg(F.sum(F.col("x") * F.col("w")).alias("dot"), F.count("*").alias("shared")).where("shared > 1")
+    return dots.join(norms, unit).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= threshold).select(*unit, "k", "similarity")
+
+
+def own_licenses(files: DataFrame, short: Collection, full: Collection, threshold: float) -> DataFrame:
+    """(path, hash, license, similarity, whole) of files (path, hash, text) with a license of their own: that of the best
+    unit; among equals, full texts after short templates, earlier units, then earlier templates first. whole: whether the
+    text as a whole reaches the threshold."""
+    spark = files.sparkSession
+    names = F.broadcast(spark.createDataFrame([(0, i, n) for i, n in enumerate(short.names)] + [(1, i, n) for i, n in enumerate(full.names)], "full int, k int, license string"))
+    # One row a text: rows that repeat path and text would only count their terms twice.
+    marked = files.where(F.col("text").rlike(short.core_pattern()) | F.col("text").rlike(MARKS)).dropDuplicates(["path", "hash"])
+    marked = cut(marked)
+    units = marked.where(F.col("text").rlike(short.core_pattern())).select("path", "hash", F.explode(_units(F.col("text"))).alias("u")).select("path", "hash", "u.*").where(F.col("unit").rlike(short.core_pattern()))
+    words = units.select("path", "hash", "kind", "at", _clean(F.col("unit")).alias("words"))
+    near = _similar(words.where(within_reach(F.col("words"), short)).select("path", "hash", "kind", "at", F.explode("words").alias("term")), short, threshold).withColumn("full", F.lit(0))
+    if full.names:
+        longer = marked.where(F.col("text").rlike(MARKS)).select("path", "hash", F.explode(_units(F.col("text"))).alias("u")).select("path", "hash", "u.*").where((F.col("kind") > 0) & F.col("unit").rlike(MARKS))
+        near = near.unionByName(_similar(longer.select("path", "hash", "kind", "at", F.explode(_clean(F.col("unit"))).alias("term")), full, threshold).withColumn("full", F.lit(1)))
+    key = F.struct("similarity", (-F.col("full")).alias("full"), (-F.col("kind")).alias("kind"), (-F.col("at")).alias("at"), (-F.col("k")).alias("k"))
+    best = near.groupBy("path", "hash").agg(F.max(key).alias("b"), F.max(F.col("kind") == 2).alias("whole"))
+    return best.select("path", "hash", "b.similarity", "whole", (-F.col("b.k")).alias("k"), (-F.col("b.full")).alias("full")).join(names, ["full", "k"]).drop("full", "k")
+
+
+def scan(files: DataFrame, path: Column, text: str = "text", notices: Templates | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The files with path, license, similarity, via ('header', 'directory' or null) and license_dir, the directory that
     a license is inherited from.
 
     Null texts have no license of their own. Of several licence files in a directory the most similar counts, then that
     of the least path. A null path has no directory. Repeated rows are alike; an empty table gives no rows. Columns of
-    the given table that are named like the new ones are replaced.
+    the given table that are named like the new ones are replaced; its others are kept, whatever their names.
     """
-    made = Collection(templates or TEMPLATES, threshold)
+    short, full = _made(notices, threshold)
     new = ("path", "license", "similarity", "via", "license_dir")
-    body = F.col(f"`{text}`")
-    rows = files.withColumns({"__path": path, "__hash": F.xxhash64(body)})
-    named = F.element_at(F.split("__path", "/"), -1).rlike(NAMES) | (F.regexp_count(body, F.lit(WORD)) <= file_words)
-    small = named & body.rlike(made.core_pattern())
-    keyed = rows.select(F.coalesce("__path", F.lit("")).alias("path"), F.col("__hash").alias("hash"), body.alias("text"))
-    own = cut(own_licenses(keyed, made, threshold)).withColumnsRenamed({"path": "__p", "hash": "__h", "license": "__own", "similarity": "__sim"})
-    rows = rows.withColumn("__file", small).join(own, (F.coalesce("__path", F.lit("")) == F.col("__p")) & (F.col("__hash") == F.col("__h")), "left")
+    kept = [c for c in files.columns if c not in new]
+    # Columns of the caller's are held in one struct, so that none can clash with a name used here.
+    held = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(1).alias("none"))
+    rows = files.select(held.alias("__row"), path.alias("__path"), F.xxhash64(F.col(f"`{text}`")).alias("__hash"), F.col(f"`{text}`").alias("__text"))
+    rows = rows.withColumn("__key", F.coalesce("__path", F.lit("")))
+    own = own_licenses(rows.select(F.col("__key").alias("path"), F.col("__hash").alias("hash"), F.col("__text").alias("text")), short, full, threshold)
+    own = cut(own.select(F.col("path").alias("__p"), F.col("hash").alias("__h"), F.col("license").alias("__own"), F.col("similarity").alias("__sim"), F.col("whole").alias("__whole")))
+    rows = rows.drop("__text").join(own, (F.col("__key") == F.col("__p")) & (F.col("__hash") == F.col("__h")), "left").drop("__p", "__h")
     rows = rows.withColumn("__dir", F.when(F.instr("__path", "/") > 0, F.regexp_replace("__path", "/[^/]*$", "")))
-    by_dir = rows.where("__own is not null and __dir is not null and __file").groupBy(F.col("__dir").alias("above")).agg(F.min_by("__own", F.struct(-F.col("__sim"), F.col("__path"))).alias("given"))
-    dirs = rows.where("__dir is not null").select(F.col("__dir").alias("dir")).distinct()
-    parts = F.split("dir", "/")
-    ups = dirs.select("dir", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth")).withColumn("above", F.array_join(F.slice(parts, 1, F.col("depth")), "/"))
-    nearest = cut(ups.join(by_dir, "above").groupBy("dir").agg(F.max_by(F.struct("above", "given"), "depth").alias("near")))
-    joined = rows.join(nearest, F.col("__dir") == F.col("dir"), "left")
+    told = F.col("__whole") | F.element_at(F.split("__p", "/"), -1).rlike(NAMES)
+    deep = own.where(told & (F.instr("__p", "/") > 0)).withColumn("__above", F.regexp_replace("__p", "/[^/]*$", ""))
+    by_dir = deep.groupBy("__above").agg(F.min_by("__own", F.struct(-F.col("__sim"), F.col("__p"))).alias("__given"))
+    dirs = rows.where("__dir is not null").select("__dir").distinct()
+    parts = F.split("__dir", "/")
+    ups = dirs.select("__dir", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("__depth")).withColumn("__above", F.array_join(F.slice(parts, 1, F.col("__depth")), "/"))
+    nearest = cut(ups.join(by_dir, "__above").groupBy("__dir").agg(F.max_by(F.struct("__above", "__given"), "__depth").alias("__near")))
+    joined = rows.join(nearest, "__dir", "left")
     has = F.col("__own").isNotNull()
     return joined.select(
-        *[F.col(f"`{c}`") for c in files.columns if c not in new],
+        *[F.col("__row").getField(c).alias(c) for c in kept],
         F.col("__path").alias("path"),
-        F.coalesce("__own", "near.given").alias("license"),
+        F.coalesce("__own", "__near.__given").alias("license"),
         F.col("__sim").alias("similarity"),
-        F.when(has, "header").when(F.col("near").isNotNull(), "directory").alias("via"),
-        F.when(~has, F.col("near.above")).alias("license_dir"),
+        F.when(has, "header").when(F.col("__near").isNotNull(), "directory").alias("via"),
+        F.when(~has, F.col("__near.__above")).alias("license_dir"),
     )
 
 
@@ -160,7 +213,8 @@ def document_path() -> Column:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Null doc_ids, sources and languages are named ``none`` in paths; null texts take their directory's license."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     return scan(docs, document_path()).select("doc_id", "path", "license", "similarity", "via", "license_dir")
 
 
@@ -169,32 +223,38 @@ def _values(rows: list[tuple]) -> str:
 
 
 def op1_sql() -> str:
-    made = Collection(TEMPLATES, stop=COMMON)
-    idf = _values([(t, f"{x!r}") for t, x in made.idf.items()])
-    vectors = _values([(k, made.names[k], t, f"{x!r}") for k, v in enumerate(made.vectors) for t, x in v.items()])
-    core = made.core_pattern().replace("'", "''")
-    stop = ", ".join(f"'{w}'" for w in COMMON)
+    """The same scan by brute force: every term of every unit that holds a core term, no bound on reach, any depth of
+    directories. The templates come in as data."""
+    short, full = _made(None, 0.0)
+    core = _made(None, THRESHOLD)[0].core_pattern().replace("'", "''")
+    idf = _values([(f, t, f"{x!r}") for f, made in enumerate((short, full)) for t, x in made.idf.items()])
+    vectors = _values([(f, k, made.names[k], t, f"{x!r}") for f, made in enumerate((short, full)) for k, v in enumerate(made.vectors) for t, x in v.items()])
+    clean = r"string_split(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g'), '\.+( |$)', '\1', 'g'), ' ')"
     return rf"""
-WITH idf(t, x) AS (SELECT c0, CAST(c1 AS DOUBLE) FROM (VALUES {idf}) v(c0, c1)),
-vec(k, name, t, w) AS (SELECT c0, c1, c2, CAST(c3 AS DOUBLE) FROM (VALUES {vectors}) v(c0, c1, c2, c3)),
-f AS (SELECT doc_id, text, coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS dir,
-             coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || coalesce(CAST(doc_id AS VARCHAR), 'none') AS path FROM documents),
-l AS (SELECT path, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])[\x20\x09]+', '\1' || chr(10), 'g'), '[\r\n]+')) AS s,
-             generate_subscripts(regexp_split_to_array(regexp_replace(text, '([.!?])[\x20\x09]+', '\1' || chr(10), 'g'), '[\r\n]+'), 1) AS pos FROM f),
-b AS (SELECT path, pos, unnest(string_split(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g'), '\.+( |$)', '\1', 'g'), ' ')) AS t
-      FROM l WHERE regexp_matches(s, '{core}')),
-x AS (SELECT path, pos, b.t, count(*) * coalesce(max(idf.x), {made.unseen!r}) AS x FROM b LEFT JOIN idf ON b.t = idf.t WHERE b.t <> '' AND b.t NOT IN ({stop}) GROUP BY 1, 2, 3),
-n AS (SELECT path, pos, sqrt(sum(x * x)) AS norm FROM x GROUP BY 1, 2),
-c AS (SELECT x.path, x.pos, vec.k, any_value(vec.name) AS name, round(sum(x.x * vec.w) / any_value(n.norm), 6) AS sim
-      FROM x JOIN vec ON x.t = vec.t JOIN n ON n.path = x.path AND n.pos = x.pos GROUP BY 1, 2, 3),
-o AS (SELECT path, arg_max(struct_pack(sim := sim, name := name), (sim, -pos, -k)) AS own FROM c WHERE sim >= {THRESHOLD} GROUP BY 1),
-d AS (SELECT f.dir AS above, arg_min(o.own.name, (-o.own.sim, f.path)) AS given
-      FROM f JOIN o ON o.path = f.path WHERE len(regexp_extract_all(f.text, '[^\x20\x09-\x0D]+')) <= {FILE_WORDS} GROUP BY 1),
-u AS (SELECT DISTINCT dir FROM f),
-near AS (SELECT dir, coalesce(d2.above, d1.above) AS above, coalesce(d2.given, d1.given) AS given
-         FROM u LEFT JOIN d d2 ON d2.above = dir LEFT JOIN d d1 ON d1.above = string_split(dir, '/')[1])
-SELECT f.doc_id, f.path, coalesce(o.own.name, near.given) AS license, o.own.sim AS similarity,
-       CASE WHEN o.path IS NOT NULL THEN 'header' WHEN near.given IS NOT NULL THEN 'directory' END AS via,
-       CASE WHEN o.path IS NULL THEN near.above END AS license_dir
-FROM f LEFT JOIN o ON o.path = f.path LEFT JOIN near ON near.dir = f.dir
+WITH idf(f, t, x) AS MATERIALIZED (SELECT c0, c1, CAST(c2 AS DOUBLE) FROM (VALUES {idf}) v(c0, c1, c2)),
+vec(f, k, name, t, w) AS MATERIALIZED (SELECT c0, c1, c2, c3, CAST(c4 AS DOUBLE) FROM (VALUES {vectors}) v(c0, c1, c2, c3, c4)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, text, coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS dir,
+             coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || coalesce(CAST(doc_id AS VARCHAR), 'none') AS path,
+             regexp_replace(chr(10) || text, '{COMMENT}', chr(10), 'g') AS bare,
+             regexp_split_to_array(regexp_replace(text, '([.!?])[ 	]+', '' || chr(10), 'g'), '[
+]+') AS parts FROM documents),
+u AS (SELECT rid, 0 AS f, 0 AS kind, unnest(parts) AS s, generate_subscripts(parts, 1) - 1 AS pos FROM d WHERE regexp_matches(text, '{core}')
+      UNION ALL SELECT * FROM (SELECT rid, 0, 1, unnest(regexp_split_to_array(bare, '{BLANK}')) AS s, generate_subscripts(regexp_split_to_array(bare, '{BLANK}'), 1) - 1 FROM d WHERE regexp_matches(text, '{core}')) WHERE contains(s, chr(10))
+      UNION ALL SELECT rid, 0, 2, bare, 0 FROM d
+      UNION ALL SELECT * FROM (SELECT rid, 1, 1, unnest(regexp_split_to_array(bare, '{BLANK}')) AS s, generate_subscripts(regexp_split_to_array(bare, '{BLANK}'), 1) - 1 FROM d WHERE regexp_matches(text, '{MARKS}')) WHERE contains(s, chr(10))
+      UNION ALL SELECT rid, 1, 2, bare, 0 FROM d),
+b AS (SELECT rid, f, kind, pos, unnest({clean}) AS t FROM u WHERE regexp_matches(s, CASE WHEN f = 1 THEN '{MARKS}' ELSE '{core}' END)),
+x AS MATERIALIZED (SELECT rid, b.f, kind, pos, b.t, (1 + ln(count(*))) * coalesce(max(idf.x), CASE WHEN b.f = 0 THEN {short.unseen!r} ELSE {full.unseen!r} END) AS x
+      FROM b LEFT JOIN idf ON b.t = idf.t AND b.f = idf.f WHERE b.t <> '' GROUP BY 1, 2, 3, 4, 5),
+n AS (SELECT rid, f, kind, pos, sqrt(sum(x * x)) AS norm FROM x GROUP BY 1, 2, 3, 4),
+c AS (SELECT x.rid, x.f, x.kind, x.pos, vec.k, any_value(vec.name) AS name, sum(x.x * vec.w) AS dot FROM x JOIN vec ON x.t = vec.t AND x.f = vec.f GROUP BY 1, 2, 3, 4, 5 HAVING count(*) > 1),
+o AS MATERIALIZED (SELECT rid, arg_max(struct_pack(sim := sim, name := name), (sim, -f, -kind, -pos, -k)) AS own, bool_or(kind = 2) AS whole
+      FROM (SELECT c.*, round(dot / norm, 6) AS sim FROM c JOIN n USING (rid, f, kind, pos)) WHERE sim >= {THRESHOLD} GROUP BY 1),
+g AS (SELECT d.dir AS above, arg_min(o.own.name, (-o.own.sim, d.path)) AS given FROM d JOIN o USING (rid) WHERE o.whole GROUP BY 1),
+p AS (SELECT dir, depth, array_to_string(list_slice(string_split(dir, '/'), 1, depth), '/') AS above FROM (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS depth FROM (SELECT DISTINCT dir FROM d))),
+near AS (SELECT dir, arg_max(above, depth) AS above, arg_max(given, depth) AS given FROM p JOIN g USING (above) GROUP BY 1)
+SELECT d.doc_id, d.path, coalesce(o.own.name, near.given) AS license, o.own.sim AS similarity,
+       CASE WHEN o.rid IS NOT NULL THEN 'header' WHEN near.given IS NOT NULL THEN 'directory' END AS via,
+       CASE WHEN o.rid IS NULL THEN near.above END AS license_dir
+FROM d LEFT JOIN o USING (rid) LEFT JOIN near USING (dir)
 """

@@ -59,32 +59,67 @@ def words(t):
 def test_licenses(spark, none):
     files = [
         ("a/LICENSE", "Released under the MIT License."), ("a/b/x.txt", "Licensed under CC BY-NC 4.0.\n" + "word " * 100), ("a/b/y.txt", "plain " * 90), ("a/b/c/z.txt", None),
-        ("a/b/c/LICENSE", "This work is licensed under the GNU General Public License, version 3."), ("q/r.txt", ""), ("top.txt", "text"), (None, "Released under the MIT License."), ("a/b/y.txt", "plain " * 90),
+        ("a/b/c/LICENSE", "This work is licensed under the GNU General Public License, version 3."), ("q/r.txt", ""), ("top.txt", "text"), (None, "Released under the MIT License."), ("a/b/y.txt", "plain " * 90), ("a/b/c/d/mit.txt", "Mit."),
+        ("n/notice.txt", "Some words\nReleased under the MIT License."), ("n/other.txt", "x"), ("h/head.txt", "Released under the MIT License.\n" + "word " * 40), ("h/other.txt", "x"),
     ]
     got = licenses.scan(spark.createDataFrame(files, "name string, text string"), F.col("name"))
     found = {(r["path"], r["license"], r["via"], r["license_dir"]) for r in got.collect()}
     assert found == {
         ("a/LICENSE", "MIT", "header", None), ("a/b/x.txt", "CC-BY-NC-4.0", "header", None), ("a/b/y.txt", "MIT", "directory", "a"), ("a/b/c/z.txt", "GPL-3.0", "directory", "a/b/c"),
-        ("a/b/c/LICENSE", "GPL-3.0", "header", None), ("q/r.txt", None, None, None), ("top.txt", None, None, None), (None, "MIT", "header", None),
+        ("a/b/c/LICENSE", "GPL-3.0", "header", None), ("q/r.txt", None, None, None), ("top.txt", None, None, None), (None, "MIT", "header", None), ("a/b/c/d/mit.txt", "GPL-3.0", "directory", "a/b/c"),
+        ("n/notice.txt", "MIT", "header", None), ("n/other.txt", "MIT", "directory", "n"), ("h/head.txt", "MIT", "header", None), ("h/other.txt", None, None, None),
     }
     assert got.count() == len(files)
     assert licenses.scan(none, F.lit("a/b")).count() == 0
+    clash = spark.createDataFrame([(*f, 1, 2, 3) for f in files], "name string, text string, dir int, near int, hash int")
+    clash = clash.withColumnsRenamed({"dir": "dir"}).withColumns({c: F.lit(7) for c in ("own", "above", "given", "depth", "__own", "__dir", "k", "license")})
+    out = licenses.scan(clash, F.col("name"))
+    assert {(r["path"], r["license"], r["via"], r["license_dir"]) for r in out.collect()} == found and {"dir", "near", "hash", "__own", "__dir", "k"} <= set(out.columns)
+
+
+def wrapped(text, width, mark=""):
+    import textwrap
+
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+def test_headers_and_licence_texts_over_many_lines(spark):
+    free = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."
+    nc = licenses.NOTICES["CC-BY-NC-4.0"][1]
+    gpl2 = licenses.NOTICES["GPL-2.0"][0]
+    body = "def f(x):\n    return x + 1\n" * 30
+    files = {f"w/{i}/{w}": (wrapped(t, w, mark) + "\n\n" + body, want) for i, (t, want, mark) in enumerate([(free, "MIT", "# "), (nc, "CC-BY-NC-4.0", " * "), (gpl2, "GPL-2.0", "// ")]) for w in (30, 40, 50, 60, 66, 70)}
+    by = {n: json_bag for n, json_bag in licenses._made(None, licenses.THRESHOLD)[1].__dict__.items()}
+    assert {"Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "MIT"} <= set(by["names"])
+    import pyspark
+
+    root = next(iter(pyspark.__path__)) + "/licenses/"
+    for name, want in (("LICENSE-AnchorJS.txt", "MIT"), ("LICENSE-CC0.txt", "CC0-1.0"), ("LICENSE-py4j.txt", "BSD-3-Clause"), ("LICENSE-jquery.txt", "MIT")):
+        files[f"t/{want}/{name}.md"] = (open(root + name).read(), want)
+        files[f"t/{want}/{name}/code.py"] = (body, None)
+        files[f"t/{want}/code.py"] = (body, want)
+    got = licenses.scan(spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "name string, text string"), F.col("name"))
+    found = {r["path"]: (r["license"], r["via"]) for r in got.collect()}
+    for path, (_, want) in files.items():
+        assert found[path][0] == (want or path.split("/")[1]), (path, found[path])
+        assert found[path][1] == ("directory" if path.endswith("code.py") else "header")
 
 
 def test_every_term_of_a_statement_counts(spark):
-    prose = ["It is from MIT.", "It is all about Apache.", "It is not for the general public.", "In the creative commons.", "the the of GNU", "Licensed under the"]
-    own = [(name, t) for name, texts in licenses.TEMPLATES.items() for t in texts]
+    prose = ["It is from MIT.", "It is all about Apache.", "It is not for the general public.", "In the creative commons.", "the the of GNU", "Licensed under the", "Mit."]
+    own = [(name, t) for name, texts in licenses.NOTICES.items() for t in texts]
     lines = [*[(None, t) for t in prose], *own, (None, "the author has waived all copyright and"), (None, "Released under the MIT License, the MIT of it all, as is")]
     bags = [Counter(licenses.terms(t)) for _, t in own]
     idf = lambda t: np.log((1 + len(bags)) / (1 + sum(t in b for b in bags))) + 1
-    norm = lambda b: sum((n * idf(t)) ** 2 for t, n in b.items()) ** 0.5
+    weight = lambda b, t: (1 + np.log(b[t])) * idf(t) if b[t] else 0.0
+    norm = lambda b: sum(weight(b, t) ** 2 for t in b) ** 0.5
     want = []
     for i, (_, line) in enumerate(lines):
-        said = [Counter(licenses.terms(t)) for t in re.split(r"(?<=[.!?])[ \t]+", line)]
-        best = max(round(float(sum(n * c[t] * idf(t) ** 2 for t, n in b.items()) / norm(b) / norm(c)), 6) for b in said for c in bags)
+        said = [Counter(licenses.terms(t)) for t in [*re.split(r"(?<=[.!?])[ \t]+", line), line]]
+        best = max(round(float(sum(weight(b, t) * weight(c, t) for t in b) / norm(b) / norm(c)), 6) * (len(b.keys() & c.keys()) > 1) for b in said for c in bags)
         want.append((i, best if best >= licenses.THRESHOLD else None))
     files = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(lines)], "n long, text string")
-    got = licenses.scan(files, F.concat(F.lit("d"), F.col("n").cast("string"), F.lit("/f"))).select("n", "similarity").collect()
+    got = licenses.scan(files, F.concat(F.lit("d"), F.col("n").cast("string"), F.lit("/f")), notices=licenses.NOTICES).select("n", "similarity").collect()
     assert sorted(map(tuple, got)) == want and all(s is None for _, s in want[: len(prose)])
 
 
