@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset, a local session gets a temporary
+    one, which goes when the driver ends; a cluster has no machine-local folder to fall back on, so there it is an error."""
+    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if set_to:
+        return set_to
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir isn't set: loops need a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="rowmesh-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(made)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return os.path.join(shared_dir(spark), f"{what}-{uuid.uuid4().hex}")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder in spark.checkpoint.dir (a temporary one only where it is unset), without lineage."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rowmesh-"))
+    """The rows, written to the shared folder, without lineage."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -25,12 +47,13 @@ def repeat(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds
     return state
 
 
-def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], done: Callable[[DataFrame, DataFrame], bool], most: int = 100) -> tuple[DataFrame, int]:
-    """Steps until ``done(old, new)``; each state is written, so a lost executor costs one step."""
+def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], done: Callable[[DataFrame, DataFrame], bool], most: int = 1000) -> tuple[DataFrame, int]:
+    """Steps until ``done(old, new)``; each state is written, so a lost executor costs one step. A state that hasn't settled
+    after ``most`` steps is an error."""
     state = cut(state)
     for i in range(most):
         new = cut(step(state, i))
         if done(state, new):
             return new, i + 1
         state = new
-    return state, most
+    raise RuntimeError(f"no fixpoint within {most} steps")

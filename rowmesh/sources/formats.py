@@ -85,13 +85,15 @@ def read_csr(spark: SparkSession, path: str, parts: int = 8) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, value): lines of one file in order, from 0. Each partition is counted, and then placed by the counts before."""
+    """(n, value): lines of a file, or of a folder's files in order of their names, from 0. Each split is counted, and then
+    placed by the counts before; a split's own lines are read in order by one task."""
     from rowmesh.plans.iterate import cut
 
     read = spark.read.text(path)
-    placed = cut(read.withColumns({"p": F.spark_partition_id(), "m": F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)}))
-    before = placed.groupBy("p").agg(F.count("*").alias("c")).select("p", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
-    return placed.join(F.broadcast(before), "p").select((F.col("b") + F.col("m")).alias("n"), "value")
+    placed = cut(read.withColumns({"f": F.input_file_name(), "s": F.input_file_block_start(), "m": F.monotonically_increasing_id()}))
+    splits = placed.groupBy("f", "s").agg(F.count("*").alias("c"), F.min("m").alias("m0"))
+    before = splits.select("f", "s", "m0", F.coalesce(F.sum("c").over(Window.orderBy("f", "s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
+    return placed.join(F.broadcast(before), ["f", "s"]).select((F.col("b") + F.col("m") - F.col("m0")).alias("n"), "value")
 
 
 def _fields(value: str = "value"):  # noqa: ANN202
@@ -109,6 +111,23 @@ def read_vector(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).select(F.col("n").alias("i"), F.trim("value").cast("double").alias("x"))
 
 
+def write_coo(matrix: DataFrame, path: str) -> None:
+    """Lines ``row col value``."""
+    matrix.select(F.concat_ws(" ", "row", "col", "val").alias("value")).write.text(path)
+
+
+def write_mapping(parts: DataFrame, path: str) -> None:
+    """The number of vertices, then lines ``vertex part`` in order of the vertices."""
+    head = parts.agg(F.count("*").alias("c")).select(F.lit(None).cast("long").alias("id"), F.col("c").cast("string").alias("value"))
+    body = parts.select("id", F.concat_ws("\t", "id", "part").alias("value"))
+    head.unionByName(body).repartitionByRange("id").sortWithinPartitions("id").select("value").write.text(path)
+
+
+def write_edge_list(arcs: DataFrame, path: str) -> None:
+    """Lines ``u v``, one for both directions."""
+    arcs.where("src < dst").select(F.concat_ws(" ", "src", "dst").alias("value")).write.text(path)
+
+
 def write_vector(df: DataFrame, path: str, i: str = "i", x: str = "x") -> None:
     """One number a line, by i: range-partitioned files in order."""
     df.repartitionByRange(i).sortWithinPartitions(i).select(F.format_string("%f", F.col(x)).alias("value")).write.text(path)

@@ -47,5 +47,13 @@ def elements(spark: SparkSession, x: int, y: int) -> DataFrame:
     return e.select("elem", F.explode(F.array(corner, corner + 1, corner + x + 1, corner + x + 2)).alias("node"))
 
 
+def bricks(spark: SparkSession, x: int, y: int, z: int) -> DataFrame:
+    """(elem, node): the box elements of a grid of x by y by z elements, with their eight corners."""
+    e = spark.range(x * y * z).select(F.col("id").alias("elem"), (F.col("id") % x).alias("i"), (F.floor(F.col("id") / x) % y).alias("j"), F.floor(F.col("id") / (x * y)).alias("k"))
+    corner = (F.col("k") * (y + 1) + F.col("j")) * (x + 1) + F.col("i")
+    layer = (x + 1) * (y + 1)
+    return e.select("elem", F.explode(F.array(*[corner + a + b * (x + 1) + c * layer for c in (0, 1) for b in (0, 1) for a in (0, 1)])).alias("node"))
+
+
 def random_ints(spark: SparkSession, n: int, seed: int) -> DataFrame:
     return spark.range(n).select("id", (F.xxhash64("id", F.lit(seed)).cast("long") % (1 << 31)).alias("x"))
