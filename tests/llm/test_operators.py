@@ -491,6 +491,32 @@ def test_dual_descent_separates():
     assert ((x @ w + b > 0) == (y > 0)).mean() > 0.97
 
 
+def test_dual_descent_ends_at_the_minimum():
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(40, 3)), np.where(rng.random(40) > 0.5, 1.0, -1.0)
+    w, b = quality.descend([np.arange(3)] * 40, list(x), y, 3, cost=0.7, epochs=4000)
+    cost = lambda w, b: 0.5 * (w @ w + b * b) + 0.7 * np.maximum(0, 1 - y * (x @ w + b)).sum()
+    least = cost(w, b)
+    for scale in (1e-3, 1e-2, 0.1, 1):
+        for _ in range(200):
+            assert cost(w + scale * rng.normal(size=3), b + scale * rng.normal()) > least - 0.01  # it ends at steps below 1e-3
+
+
+def test_quality_model_by_hand():
+    texts = [b"good words here", b"good fine words", b"BUY!! now now", b"BUY!! cheap", b"fine words", b"now!! BUY!! x"] * 12
+    label = np.array([1, 1, 0, 0, 1, 0] * 12)
+    feature, at = quality.features(texts)
+    rows = [feature[i:j] for i, j in zip(at, at[1:])]
+    model = quality.fit(rows, label)
+    fitted = [i for i in range(len(rows)) if i % 5]
+    up, down = Counter(f for i in fitted if label[i] for f in rows[i].tolist()), Counter(f for i in fitted if not label[i] for f in rows[i].tolist())
+    ups, downs = sum(up.values()) + quality.DIM, sum(down.values()) + quality.DIM
+    for f in {f for r in rows for f in r.tolist()}:
+        ratio = np.log((up[f] + 1) / ups) - np.log((down[f] + 1) / downs)
+        assert abs(model.square[f] - ratio**2) < 1e-4 * (1 + ratio**2)
+    assert ((model.scores(texts) >= 0.5) == (label == 1)).all()
+
+
 def test_language(spark, docs, rows, none):
     rng = random.Random(9)
     make = {"aa": ["nation", "other", "thing"], "bb": ["strasse", "kinder", "nicht"]}
