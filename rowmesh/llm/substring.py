@@ -327,26 +327,26 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     sieve[set_bits["block"].to_numpy()] = set_bits["word"].to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast(sieve)
 
-    occurrence = "anchor long, frag long, d long, t long, pos int, windows int"
+    occurrence = "anchor long, frag long, d long, t long, pos int, windows int, many boolean"
 
     def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table_ = shared.value
         for batch in batches:
-            for rows, (anchor, doc, pos, n, _), words, first in each(batch):
+            for rows, (anchor, doc, pos, n, count), words, first in each(batch):
                 if not len(anchor):
                     continue
                 ok = np.ones(len(anchor), bool)
                 for p in _sieve_places(anchor, bits):
                     ok &= (table_[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-                anchor, doc, pos, n = anchor[ok], doc[ok], pos[ok], n[ok]
+                anchor, doc, pos, n, many = anchor[ok], doc[ok], pos[ok], n[ok], count[ok] > 1
                 frag = span_hashes(words, first[doc] + pos, n + window - 1)
-                yield pd.DataFrame({"anchor": anchor.view(np.int64), "frag": frag.view(np.int64), "d": rows["d"].to_numpy()[doc], "t": rows["t"].to_numpy()[doc], "pos": pos, "windows": n})
+                yield pd.DataFrame({"anchor": anchor.view(np.int64), "frag": frag.view(np.int64), "d": rows["d"].to_numpy()[doc], "t": rows["t"].to_numpy()[doc], "pos": pos, "windows": n, "many": many})
 
     found = written(keyed.mapInPandas(occurrences, occurrence), "occurrences")
-    kinds = written(found.groupBy("anchor", "frag").agg(F.count("*").alias("copies"), F.min(F.struct("d", "t", "pos", "windows")).alias("at")).select("anchor", "frag", "copies", "at.*"), "fragments")
-    # What the sieve let through is told here: an anchor whose fragments stand at one place has no repeated window.
-    met = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all"), F.sum(F.col("windows") + (window - 1)).alias("words"))
-    met = cut(met.withColumn("lone", F.col("all") == 1).where("lone or kinds > %d" % HOT).select("anchor", "lone", "kinds", "words"))
+    kinds = written(found.groupBy("anchor", "frag").agg(F.count("*").alias("copies"), F.max("many").alias("many"), F.min(F.struct("d", "t", "pos", "windows")).alias("at")).select("anchor", "frag", "copies", "many", "at.*"), "fragments")
+    # What the sieve let through is told here: an anchor that stands at one place has no repeated window.
+    met = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all"), F.max("many").alias("many"), F.sum(F.col("windows") + (window - 1)).alias("words"))
+    met = cut(met.withColumn("lone", (F.col("all") == 1) & ~F.col("many")).where("lone or kinds > %d" % HOT).select("anchor", "lone", "kinds", "words"))
     total = kinds.agg(F.sum(F.col("windows") + (window - 1))).first()[0] or 0
     shards = max(1, -(-(total - (met.where("lone").agg(F.sum("words")).first()[0] or 0)) // SHARD))
     kinds = kinds.join(met.where("lone").select("anchor"), "anchor", "left_anti")

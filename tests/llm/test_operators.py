@@ -29,7 +29,7 @@ def rows():
     shared = prose(rng, 60)
     long = prose(rng, 9000)
     texts = [None, "", "  \n\t ", "one", "one two", long, long, long + " tail", shared, prose(rng, 40) + " " + shared, shared + "\n" + prose(rng, 50)]
-    texts += ["x y \u0085 z", "of, " * 200, "Licensed under the Apache License, Version 2.0.\n" + prose(rng, 30), "nul\x00byte ퟿ end"]
+    texts += ["x y \u0085 z", "of, " * 200, "to, " * 40, "Licensed under the Apache License, Version 2.0.\n" + prose(rng, 30), "nul\x00byte ퟿ end"]
     texts += [prose(rng, rng.randint(1, 300)) for _ in range(25)]
     base = texts[-1].split()
     texts += [" ".join([*base[:-1], "changed"]) if len(base) > 1 else "changed"]
