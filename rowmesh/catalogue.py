@@ -616,6 +616,30 @@ def remap_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return m.withColumn("mean_distance", F.round("mean_distance", 6))
 
 
+@query(f"SELECT p.part AS part, count(DISTINCT q.part) AS neighbours FROM ({WSYM}) JOIN ({_PARTS}) p ON p.id = src JOIN ({_PARTS}) q ON q.id = dst WHERE p.part <> q.part GROUP BY 1")
+def map_part_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return G.part_neighbours(weighted_arcs(spark, sf), _parts(spark, sf))
+
+
+@query(
+    f"WITH c AS (SELECT CAST(coalesce(sum(load), 0) AS DOUBLE) AS cut_load FROM ({WSYM}) JOIN customer p ON p.c_custkey = src JOIN customer q ON q.c_custkey = dst WHERE p.c_custkey % 4 <> q.c_custkey % 4 AND src < dst), "
+    "m AS (SELECT CAST(coalesce(sum(abs(c_nationkey % 4 - c_custkey % 4) * (c_custkey % 5 + 1)), 0) AS DOUBLE) AS moved_load FROM customer WHERE c_nationkey % 4 <> c_custkey % 4) "
+    "SELECT cut_load, moved_load, cut_load + 0.5 * moved_load AS cost FROM c, m"
+)
+def remap_cost(spark: SparkSession, sf: str) -> DataFrame:
+    return G.migration_cost(customers(spark, sf), _parts(spark, sf), _parts(spark, sf, "c_custkey % 4"), weighted_arcs(spark, sf), 0.5, F.abs(F.col("ps") - F.col("pd")))
+
+
+@query()
+def part_diameters(spark: SparkSession, sf: str) -> DataFrame:
+    return G.part_diameters(arcs(spark, sf), _parts(spark, sf))
+
+
+@query()
+def map_to_hypercube(spark: SparkSession, sf: str) -> DataFrame:
+    return G.map_to(customers(spark, sf), weighted_arcs(spark, sf), [[(a ^ b).bit_count() for b in range(8)] for a in range(8)])
+
+
 def _arch_sql(n: int, dist: str) -> str:
     return f"SELECT a.range AS src_part, b.range AS dst_part, CAST({dist} AS BIGINT) AS dist FROM range({n}) a, range({n}) b"
 

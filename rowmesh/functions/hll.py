@@ -48,16 +48,29 @@ def estimate(sk: DataFrame, by: list[str], bits: int = 4) -> DataFrame:
 
 def hyper_anf(arcs: DataFrame, vertices: DataFrame, rounds: int | None, bits: int = 4) -> DataFrame:
     """(t, n): the neighbourhood function, estimated pairs within distance t, until nothing changes or rounds end; rounds
-    None: no limit."""
-    state = cut(sketch(vertices.select("id", F.col("id").alias("v")), ["id"], "v", bits))
-    sizes = [estimate(state, ["id"], bits).agg(F.sum("size")).first()[0]]
+    None: no limit. A vertex's registers are columns of one row, so a round moves one row an arc."""
+    m = 1 << bits
+    names = [f"r{i}" for i in range(m)]
+    h = hash31(F.col("id"))
+    reg, val = register(h, bits), rho(h, bits)
+    state = cut(vertices.select("id", *[F.when(reg == i, val).otherwise(F.lit(0)).alias(n) for i, n in enumerate(names)]))
+    total = lambda of: F.aggregate(F.array(*map(of, names)), F.lit(0.0), lambda s, x: s + x)
+    size = F.lit(m * m * 0.72134) / total(lambda n: F.pow(F.lit(2.0), -F.col(n)))
+
+    def look(df: DataFrame) -> tuple[float, float]:
+        """Estimated pairs, and the sum of all registers: these only grow, so an equal sum means that none changed."""
+        return tuple(df.agg(F.coalesce(F.sum(size), F.lit(0.0)), F.coalesce(F.sum(total(lambda n: F.col(n).cast("double"))), F.lit(0.0))).first())
+
+    seen = look(state)
+    sizes = [seen[0]]
     for _ in itertools.count() if rounds is None else range(rounds):
-        near = arcs.join(state.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "reg", "val")
-        new = cut(union(state, near, ["id"]))
-        if new.join(state, ["id", "reg", "val"], "left_anti").isEmpty():
+        near = arcs.join(state.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), *names)
+        new = cut(state.unionByName(near).groupBy("id").agg(*[F.max(n).alias(n) for n in names]))
+        now = look(new)
+        if now[1] == seen[1]:
             break
-        state = new
-        sizes.append(estimate(state, ["id"], bits).agg(F.sum("size")).first()[0])
+        state, seen = new, now
+        sizes.append(now[0])
     return arcs.sparkSession.createDataFrame([(t, float(n)) for t, n in enumerate(sizes)], "t int, n double")
 
 

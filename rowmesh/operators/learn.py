@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -92,6 +93,10 @@ def error(predicted: DataFrame, val: str = "val", pred: str = "pred") -> DataFra
     return predicted.agg(F.avg(F.abs(r)).alias("mae"), F.sqrt(F.avg(r * r)).alias("rmse"))
 
 
+#: Ratings of a block, about.
+BLOCK = 250_000
+
+
 def _stratum_step(mu: float, rank: int, rate: float, reg: float, seed: tuple[int, ...]) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """One pass over a block: its rows' and columns' biases and factors after it."""
 
@@ -115,10 +120,11 @@ def _stratum_step(mu: float, rank: int, rate: float, reg: float, seed: tuple[int
     return block
 
 
-def sgd(ratings: DataFrame, rank: int = 8, blocks: int = 4, epochs: int = 2, rate: float = 0.005, reg: float = 0.02, seed: int = 1) -> tuple[float, DataFrame, DataFrame]:
+def sgd(ratings: DataFrame, rank: int = 8, blocks: int | None = None, epochs: int = 2, rate: float = 0.005, reg: float = 0.02, seed: int = 1) -> tuple[float, DataFrame, DataFrame]:
     """(mu, rows, cols): biased factors by stratified stochastic gradient descent. The blocks of one stratum share no row
-    and no column, so they are updated side by side; a block's entries are visited in a fixed pseudo-random order. Blocks
-    must fit a task: choose their number by the data."""
+    and no column, so they are updated side by side; a block's entries are visited in a fixed pseudo-random order. By
+    default there are as many blocks a side as keep a block at BLOCK ratings or so, and no fewer than four."""
+    blocks = blocks or max(4, math.ceil(math.sqrt(ratings.count() / BLOCK)))
     mu = float(ratings.agg(F.avg("val")).first()[0] or 0.0)
 
     def start(name: str) -> DataFrame:

@@ -24,8 +24,8 @@ def global_rank(df: DataFrame, *by: str, into: str = "pos", parts: int | None =
 
 def splitters(df: DataFrame, by: str, parts: int) -> DataFrame:
     """(i, splitter): the values at places floor(i * n / parts), i from 1."""
-    ranked = cut(global_rank(df.select(by), by))
-    n = ranked.count()
+    ranked = global_rank(df.select(by), by)  # its sorted rows are written already
+    n = df.count()
     want = [(i, i * n // parts) for i in range(1, parts)]
     spots = df.sparkSession.createDataFrame(want, "i long, pos long")
     return ranked.join(F.broadcast(spots), "pos").select("i", F.col(by).alias("splitter"))

@@ -171,6 +171,23 @@ def pseudo_diameter(arcs: DataFrame, start: int) -> int:
         best = d
 
 
+def part_diameters(arcs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(part, diameter): for each part the greatest distance found, over arcs within the part, by sweeps from its least
+    vertex and then from the farthest one until no part's distance grows: a lower bound, over what a start reaches."""
+    inside = cut(_ends(arcs, parts).where("ps = pd").select("src", "dst").distinct())
+    seeds = parts.groupBy("part").agg(F.min("id").alias("id")).select("id", F.col("part").alias("color"))
+    best = None
+    while True:
+        far = grow(inside, seeds, 1 << 20).groupBy("color").agg(F.max(F.struct("level", (-F.col("id")).alias("i"))).alias("m"))
+        found = cut(far.select(F.col("color").alias("part"), F.col("m.level").alias("diameter"), (-F.col("m.i")).alias("at")))
+        if best is not None:
+            found = cut(found.join(best.select("part", F.col("diameter").alias("was")), "part").withColumn("grew", F.col("diameter") > F.col("was")).withColumn("diameter", F.greatest("diameter", "was")))
+            if found.where("grew").isEmpty():
+                return found.select("part", "diameter")
+        best = found
+        seeds = found.select(F.col("at").alias("id"), F.col("part").alias("color"))
+
+
 def components(arcs: DataFrame) -> DataFrame:
     """(id, root): the least id of each vertex's component, by minima over neighbours and one jump a round."""
     start = vertices_of(arcs).select("id", F.col("id").alias("root"))
@@ -342,7 +359,8 @@ def partition(vertices: DataFrame, arcs: DataFrame, k: int, imbalance: float = 0
             break
         levels.append((free_v, free_a, groups))
         free_v, free_a, n = cv, ca, m
-    where = _place(free_v, free_a, k, bound, pinned)
+    # Matching may stall on a large graph (a star has one pair): then parts start from ranges of a hash, and only move.
+    where = _place(free_v, free_a, k, bound, pinned) if n <= PLACED else _scatter(free_v, k, pinned)
     parts = _refine(free_v, free_a, where, k, bound, rounds, pinned)
     for lv, la, groups in reversed(levels):
         parts = cut(groups.join(parts.withColumnRenamed("id", "group"), "group").select("id", "part"))
@@ -350,6 +368,15 @@ def partition(vertices: DataFrame, arcs: DataFrame, k: int, imbalance: float = 0
     return parts
 
 
+#: Vertices of a coarsest graph that the driver may hold.
+PLACED = 100_000
+
+
+def _scatter(v: DataFrame, k: int, pinned: DataFrame | None) -> DataFrame:
+    parts = v.select("id", F.pmod(F.xxhash64("id"), F.lit(k)).cast("int").alias("part"))
+    return parts if pinned is None else parts.join(pinned.withColumnRenamed("part", "p"), "id", "left").select("id", F.coalesce(F.col("p").cast("int"), "part").alias("part"))
+
+
 def _among(arcs: DataFrame, vertices: DataFrame) -> DataFrame:
     """Arcs whose ends both are among the vertices."""
     return arcs.join(vertices.select(F.col("id").alias("src")), "src", "left_semi").join(vertices.select(F.col("id").alias("dst")), "dst", "left_semi")
@@ -417,6 +444,87 @@ def _refine(v: DataFrame, a: DataFrame, parts: DataFrame, k: int, bound: float,
     return parts
 
 
+def _swaps(place: list[int], gain) -> list[int]:  # noqa: ANN001
+    """Exchanges pairs of places as long as one lowers the cost."""
+    moved = True
+    while moved:
+        moved = False
+        for i in range(len(place)):
+            for j in range(i + 1, len(place)):
+                if gain(place, i, j) > 1e-9:
+                    place[i], place[j] = place[j], place[i]
+                    moved = True
+    return place
+
+
+def map_to(vertices: DataFrame, arcs: DataFrame, distance: list[list[int]], imbalance: float = 0.05, fixed: DataFrame | None = None) -> DataFrame:
+    """(id, part): a mapping onto an architecture of which distance[a][b] is known, that keeps arc load times distance low.
+
+    A balanced partition comes first; then its parts are placed: part pairs' loads, at most one row a pair, reach the driver,
+    where the heaviest part goes to the most central place, each next one where it is nearest to what it talks to, and
+    pairs of places are exchanged as long as that helps. Fixed vertices name places: their parts stay where they are.
+    """
+    k = len(distance)
+    parts = cut(partition(vertices, arcs, k, imbalance, fixed))
+    if fixed is not None:
+        return parts
+    talk = [[0.0] * k for _ in range(k)]
+    for r in _ends(arcs, parts).where("ps <> pd").groupBy("ps", "pd").agg(F.sum("load").alias("w")).collect():
+        talk[r["ps"]][r["pd"]] += r["w"] / 2
+        talk[r["pd"]][r["ps"]] += r["w"] / 2
+    place, free = [-1] * k, set(range(k))
+    placed: list[int] = []
+    while free:
+        p = max((i for i in range(k) if place[i] < 0), key=lambda i: (sum(talk[i][j] for j in placed), sum(talk[i]), -i))
+        at = min(free, key=lambda q: (sum(talk[p][j] * distance[q][place[j]] for j in placed), sum(distance[q]), q))
+        place[p] = at
+        placed.append(p)
+        free.discard(at)
+
+    def gain(where: list[int], i: int, j: int) -> float:
+        others = [x for x in range(k) if x not in (i, j)]
+        return sum((talk[i][x] - talk[j][x]) * (distance[where[i]][where[x]] - distance[where[j]][where[x]]) for x in others)
+
+    place = _swaps(place, gain)
+    named = vertices.sparkSession.createDataFrame(list(enumerate(place)), "p int, place int")
+    return parts.withColumnRenamed("part", "p").join(F.broadcast(named), "p").select("id", F.col("place").alias("part"))
+
+
+def remap(vertices: DataFrame, old: DataFrame, new: DataFrame, k: int) -> DataFrame:
+    """(id, part): the new partition with its parts renamed so that little load migrates from the old one. Pairs of old and
+    new parts, at most k * k rows, reach the driver: best pairs first, then exchanges."""
+    load = F.col("load") if "load" in vertices.columns else F.lit(1)
+    both = vertices.join(old.select("id", F.col("part").alias("ps")), "id").join(new.select("id", F.col("part").alias("pd")), "id")
+    stays = [[0.0] * k for _ in range(k)]
+    for r in both.groupBy("ps", "pd").agg(F.sum(load).alias("w")).collect():
+        if 0 <= r["ps"] < k and 0 <= r["pd"] < k:
+            stays[r["pd"]][r["ps"]] += r["w"]
+    name, taken = [-1] * k, set()
+    for p, q in sorted(((p, q) for p in range(k) for q in range(k)), key=lambda x: (-stays[x[0]][x[1]], x)):
+        if name[p] < 0 and q not in taken:
+            name[p] = q
+            taken.add(q)
+    name = _swaps(name, lambda n, i, j: stays[i][n[j]] + stays[j][n[i]] - stays[i][n[i]] - stays[j][n[j]])
+    named = vertices.sparkSession.createDataFrame(list(enumerate(name)), "p int, place int")
+    return new.withColumnRenamed("part", "p").join(F.broadcast(named), "p").select("id", F.col("place").alias("part"))
+
+
+def part_neighbours(arcs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(part, neighbours): how many other parts each part has arcs to; parts without any have no row."""
+    return _ends(arcs, parts).where("ps <> pd").groupBy(F.col("ps").alias("part")).agg(F.countDistinct("pd").alias("neighbours"))
+
+
+def migration_cost(vertices: DataFrame, old: DataFrame, new: DataFrame, arcs: DataFrame, weight: float = 1.0, distance: Column | None = None) -> DataFrame:
+    """(cut_load, moved_load, cost): arc load between parts of the new mapping, counted once an edge, vertex load that
+    migrates, times its distance, and cut_load + weight * moved_load."""
+    load = F.col("load") if "load" in vertices.columns else F.lit(1)
+    dist = distance if distance is not None else F.lit(1)
+    both = vertices.join(old.select("id", F.col("part").alias("ps")), "id").join(new.select("id", F.col("part").alias("pd")), "id").where("ps <> pd")
+    moved = both.agg(F.coalesce(F.sum(load * dist), F.lit(0)).cast("double").alias("moved_load"))
+    apart = _ends(arcs, new).where("ps <> pd and src < dst").agg(F.coalesce(F.sum("load"), F.lit(0)).cast("double").alias("cut_load"))
+    return apart.crossJoin(moved).select("cut_load", "moved_load", (F.col("cut_load") + weight * F.col("moved_load")).alias("cost"))
+
+
 def repartition(vertices: DataFrame, arcs: DataFrame, k: int, old: DataFrame, imbalance: float = 0.05, rounds: int = 6) -> DataFrame:
     """Improves an old mapping by boundary moves alone, so that little migrates."""
     v = cut(vertices.select("id", (F.col("load") if "load" in vertices.columns else F.lit(1)).cast("long").alias("load")))

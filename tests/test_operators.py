@@ -177,3 +177,41 @@ def test_mesh_dual_has_every_node(spark):
     got = [(r["src"], r["dst"]) for r in catalogue.QUERIES["mesh_dual"](spark, SF).select("src", "dst").collect()]
     print("mesh_dual rows", len(got), "of", len(want))
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_parts_are_placed_near_what_they_talk_to(spark):
+    from itertools import permutations
+
+    g = generators.grid(spark, 8, 4).withColumn("load", F.least("src", "dst") % 3 + 1)
+    v = G.vertices_of(g)
+    ring = [[min(abs(a - b), 4 - abs(a - b)) for b in range(4)] for a in range(4)]
+    parts = {r["id"]: r["part"] for r in G.map_to(v, g, ring).collect()}
+    loads = [(r["src"], r["dst"], r["load"]) for r in g.collect()]
+    cost = lambda p: sum(w * ring[p[parts[a]]][p[parts[b]]] for a, b, w in loads)
+    assert len(parts) == 32 and max(list(parts.values()).count(k) for k in range(4)) <= 9
+    assert cost(range(4)) == min(cost(p) for p in permutations(range(4)))
+
+
+def test_remap_renames_for_least_migration(spark):
+    from itertools import permutations
+
+    v = spark.range(60).withColumn("load", F.col("id") % 5 + 1)
+    old = v.select("id", (F.col("id") % 4).cast("int").alias("part"))
+    new = v.select("id", F.when(F.col("id") % 7 == 0, F.col("id") % 3).otherwise((F.col("id") + 1) % 4).cast("int").alias("part"))
+    got = {r["id"]: r["part"] for r in G.remap(v, old, new, 4).collect()}
+    was, named = {r["id"]: r["part"] for r in old.collect()}, {r["id"]: r["part"] for r in new.collect()}
+    moved = lambda part: sum(i % 5 + 1 for i in range(60) if part[i] != was[i])
+    assert moved(got) == min(moved({i: p[named[i]] for i in range(60)}) for p in permutations(range(4)))
+
+
+def test_diameters_of_parts(spark):
+    g = generators.grid(spark, 6, 3)
+    parts = spark.range(18).select("id", F.when(F.col("id") % 6 < 4, 0).otherwise(1).alias("part"))
+    assert {(r["part"], r["diameter"]) for r in G.part_diameters(g, parts).collect()} == {(0, 5), (1, 3)}
+
+
+def test_a_star_is_partitioned_without_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(G, "PLACED", 50)
+    star = G.symmetrize(spark.range(1, 2400).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")))
+    p = G.partition(G.vertices_of(star), star, 4, rounds=1)
+    assert p.count() == 2400 and p.select("part").distinct().count() == 4
