@@ -8,16 +8,16 @@ Every whole text is cut into statements (lines, and sentences within lines) and
 joined, without comment marks); these and the text as a whole are the units that are compared with the short templates,
 wherever they stand. Paragraphs and texts as a whole are compared with the full ones, too. A unit's terms are weighed by
 1 + ln(frequency) times the inverse document frequency that the collection gives; a term of no template has that of no
-occurrence. The unit and template of the greatest cosine, at least THRESHOLD and of more than one common term, give the
-file its license.
+occurrence. The unit and template of the greatest cosine, at least THRESHOLD, give the file its license; they must have
+more than one term in common, not all of them ordinary words.
 
 A licence file of its directory is a file with a license that is named like one, or whose text as a whole reaches
 THRESHOLD: it says nothing else. A file without a license of its own takes that of the nearest directory at or above its
 own that has a licence file.
 
-Units are shuffled only where they can reach THRESHOLD. Against short templates: they hold one of the core terms, without
-which none can, and the part of their weight that lies on terms of templates is large enough (a cosine is at most that
-part's norm over the whole norm). Both are exact bounds. Against full templates, a unit must hold one of the words that
+Units are shuffled only where they can reach THRESHOLD. Against short templates: they hold one of the templates' terms that
+is no ordinary word, and the part of their weight that lies on terms of templates is large enough (a cosine is at most
+that part's norm over the whole norm). Both lose nothing. Against full templates, a unit must hold one of the words that
 licences call themselves by (MARKS), as every full template does.
 """
 
@@ -41,6 +41,8 @@ NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.\-_].*)?$"
 MARKS = "(?i)licen[cs]|copyright|permission|warrant"
 COMMENT = r"\n[\x20\x09]*(//+|/?\*+/?|#+|--+|;+|%+|<!--)[\x20\x09]*"
 BLANK = r"(\n[\x20\x09\r]*){2,}"
+#: Ordinary words. They weigh like any other term, but to have none but these in common is no likeness.
+ORDINARY = frozenset("a about all an and any are as at be by can copy except file files following for form forms free from has have in is it its law may no not of on or other person possible provided subject that the this to under use used version with without work you your".split())
 Templates = dict[str, tuple[str, ...]]
 NOTICES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"),
@@ -65,8 +67,8 @@ def terms(text: str) -> list[str]:
 
 
 class Collection:
-    """Templates, as bags of terms, made unit vectors: names and weights by template, inverse frequencies by term. The core
-    terms are those without which no unit can reach the threshold; with no threshold, all."""
+    """Templates, as bags of terms, made unit vectors: names and weights by template, inverse frequencies by term. Core
+    terms are those that are no ordinary words."""
 
     def __init__(self, bags: list[tuple[str, dict[str, int]]], threshold: float = 0.0) -> None:
         rows = sorted(bags, key=lambda r: (r[0], sorted(r[1].items())))
@@ -79,16 +81,8 @@ class Collection:
             raw = {t: (1 + math.log(k)) * self.idf[t] for t, k in sorted(b.items())}
             norm = math.sqrt(sum(x * x for x in raw.values()))
             self.vectors.append({t: x / norm for t, x in raw.items()})
-        # Terms common among templates, then short ones, are left out as long as what is left out can't reach the threshold.
         self.least = max(threshold - SLACK, 0.0) ** 2
-        core, out = [], [0.0] * n
-        for t in sorted(self.idf, key=lambda t: (self.idf[t], len(t), t)):
-            more = [o + v.get(t, 0.0) ** 2 for o, v in zip(out, self.vectors)]
-            if max(more, default=1.0) < self.least:
-                out = more
-            else:
-                core.append(t)
-        self.core = sorted(core)
+        self.core = sorted(set(self.idf) - ORDINARY)
 
     def core_pattern(self) -> str:
         return "(?i)(^|[^a-z0-9])(" + "|".join(re.escape(t) for t in self.core) + ")([^a-z0-9]|$)"
@@ -141,11 +135,11 @@ def _similar(bags: DataFrame, made: Collection, threshold: float) -> DataFrame:
     """(path, hash, kind, at, k, similarity) of the units (path, hash, kind, at, term), one row a term, that reach it."""
     spark, unit = bags.sparkSession, ["path", "hash", "kind", "at"]
     idf = F.broadcast(spark.createDataFrame(list(made.idf.items()), "term string, idf double"))
-    vectors = F.broadcast(spark.createDataFrame([(t, k, w) for k, v in enumerate(made.vectors) for t, w in v.items()], "term string, k int, w double"))
+    vectors = F.broadcast(spark.createDataFrame([(t, k, w, t not in ORDINARY) for k, v in enumerate(made.vectors) for t, w in v.items()], "term string, k int, w double, telling boolean"))
     counts = bags.groupBy(*unit, "term").agg(F.count("*").alias("n"))
     weighed = counts.join(idf, "term", "left").withColumn("x", (1 + F.log(F.col("n"))) * F.coalesce("idf", F.lit(made.unseen)))
     norms = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.join(vectors, "term").groupBy(*unit, "k").agg(F.sum(F.col("x") * F.col("w")).alias("dot"), F.count("*").alias("shared")).where("shared > 1")
+    dots = weighed.join(vectors, "term").groupBy(*unit, "k").agg(F.sum(F.col("x") * F.col("w")).alias("dot"), F.count("*").alias("shared"), F.max("telling").alias("telling")).where("shared > 1 and telling")
     return dots.join(norms, unit).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= threshold).select(*unit, "k", "similarity")
 
 
@@ -229,6 +223,7 @@ def op1_sql() -> str:
     core = _made(None, THRESHOLD)[0].core_pattern().replace("'", "''")
     idf = _values([(f, t, f"{x!r}") for f, made in enumerate((short, full)) for t, x in made.idf.items()])
     vectors = _values([(f, k, made.names[k], t, f"{x!r}") for f, made in enumerate((short, full)) for k, v in enumerate(made.vectors) for t, x in v.items()])
+    ordinary = ", ".join(f"'{w}'" for w in sorted(ORDINARY))
     clean = r"string_split(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g'), '\.+( |$)', '\1', 'g'), ' ')"
     return rf"""
 WITH idf(f, t, x) AS MATERIALIZED (SELECT c0, c1, CAST(c2 AS DOUBLE) FROM (VALUES {idf}) v(c0, c1, c2)),
@@ -247,7 +242,7 @@ b AS (SELECT rid, f, kind, pos, unnest({clean}) AS t FROM u WHERE regexp_matches
 x AS MATERIALIZED (SELECT rid, b.f, kind, pos, b.t, (1 + ln(count(*))) * coalesce(max(idf.x), CASE WHEN b.f = 0 THEN {short.unseen!r} ELSE {full.unseen!r} END) AS x
       FROM b LEFT JOIN idf ON b.t = idf.t AND b.f = idf.f WHERE b.t <> '' GROUP BY 1, 2, 3, 4, 5),
 n AS (SELECT rid, f, kind, pos, sqrt(sum(x * x)) AS norm FROM x GROUP BY 1, 2, 3, 4),
-c AS (SELECT x.rid, x.f, x.kind, x.pos, vec.k, any_value(vec.name) AS name, sum(x.x * vec.w) AS dot FROM x JOIN vec ON x.t = vec.t AND x.f = vec.f GROUP BY 1, 2, 3, 4, 5 HAVING count(*) > 1),
+c AS (SELECT x.rid, x.f, x.kind, x.pos, vec.k, any_value(vec.name) AS name, sum(x.x * vec.w) AS dot FROM x JOIN vec ON x.t = vec.t AND x.f = vec.f GROUP BY 1, 2, 3, 4, 5 HAVING count(*) > 1 AND bool_or(vec.t NOT IN ({ordinary}))),
 o AS MATERIALIZED (SELECT rid, arg_max(struct_pack(sim := sim, name := name), (sim, -f, -kind, -pos, -k)) AS own, bool_or(kind = 2) AS whole
       FROM (SELECT c.*, round(dot / norm, 6) AS sim FROM c JOIN n USING (rid, f, kind, pos)) WHERE sim >= {THRESHOLD} GROUP BY 1),
 g AS (SELECT d.dir AS above, arg_min(o.own.name, (-o.own.sim, d.path)) AS given FROM d JOIN o USING (rid) WHERE o.whole GROUP BY 1),
