@@ -141,7 +141,9 @@ def fit(rows: list[np.ndarray], label: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", use: Column | None = None) -> Model:
     """Fits the model on the rows of labels (key, label in 0, 1) that ``use`` keeps and docs has. At most SAMPLE label
-    rows are taken, so the side sent to every executor is bounded; texts of other documents never leave their scan."""
+    rows are taken, so the side sent to every executor is bounded; texts of other documents never leave their scan. Null keys
+    and labels but 0 and 1 are left out, of a key's labels the least counts, of its texts one. Empty tables: every text
+    scores one half."""
     rows = only(labels, key, label).where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     rows = rows if use is None else rows.where(use)
     rows = rows.groupBy(key).agg(F.min(label).alias("__y")).orderBy(F.xxhash64(key), key).limit(SAMPLE).withColumnRenamed(key, "__k")
@@ -156,13 +158,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 found += [feature[i:j].astype("<i4").tobytes() for i, j in zip(at, at[1:])]
             yield pd.DataFrame({"k": b["__k"], "y": b["__y"], "f": found})
 
-    got = picked.mapInPandas(run, f"k {docs.schema[key].dataType.simpleString()}, y int, f binary").toPandas().sort_values(["k", "f"], ignore_index=True)
-    got = got.drop_duplicates(["k"])
+    made = picked.mapInPandas(run, f"k {docs.schema[key].dataType.simpleString()}, y int, f binary")
+    # One row a key, however many rows of docs share it: what reaches the driver stays within SAMPLE.
+    got = made.groupBy("k").agg(F.min("y").alias("y"), F.min("f").alias("f")).toPandas().sort_values("k", ignore_index=True)
     return fit([np.frombuffer(f, "<i4").astype(np.int64) for f in got["f"]], got["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """The documents with a column ``into``: the probability of label 1. Null texts count as empty."""
+    """The documents with a column ``into``: the probability of label 1. Null texts count as empty; repeated rows
+    score alike and keep a row each; further columns are kept, one named like ``into`` is replaced."""
     from pyspark.sql.functions import pandas_udf
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -181,7 +185,8 @@ def held_out(key: str, parts: int, part: int) -> Column:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that a model of their own labels doesn't reject (score 0.5 or more), with the columns given."""
+    """The documents that a model of their own labels doesn't reject (score 0.5 or more), with the columns given.
+    Null and empty texts are scored like any other; an empty table gives no rows."""
     model = train(docs, labels, key, text)
     return score(docs, model, text, "__score").where("__score >= 0.5").drop("__score")
 
