@@ -184,16 +184,19 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
     parts = parts.withColumn(text, F.coalesce(text, F.lit("")))
     parts = hide_nulls(parts, key).repartition(ranges, "part").sortWithinPartitions("part", "guest", "at", "h", text).select("part", "guest", key, text)
 
-    def answer(rows: list[tuple], head: tuple) -> pd.DataFrame:
-        """rows: (part, guest, key, text) whose next ones are the row after each, and head after the last."""
+    def answer(rows: list[tuple], head: tuple) -> Iterator[pd.DataFrame]:
+        """rows: (part, guest, key, text) whose next ones are the row after each, and head after the last. A block of guests
+        alone has no frame: empty columns have no type, and Arrow turns them into chunks that Spark refuses."""
+        live = [i for i, r in enumerate(rows) if not r[1]]
+        if not live:
+            return
         texts = [r[3] for r in rows] + [head[3]]
         changed = [edited(a, b) for a, b in zip(texts, texts[1:])]
         raw = [utf8(t) for t in texts]
         raw_changed = [utf8(t) for t in changed]
         own, other = sketch(raw), sketch(raw_changed)
         own_hex, other_hex = pack(own[:-1]), pack(other)
-        live = [i for i, r in enumerate(rows) if not r[1]]
-        return pd.DataFrame(
+        yield pd.DataFrame(
             {
                 key: [rows[i][2] for i in live],
                 "n_chars": [len(texts[i]) for i in live],
@@ -212,12 +215,12 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
             keys = [None if pd.isna(k) else int(k) for k in b[key]]
             for row in zip(b["part"], b["guest"], keys, b[text]):
                 if held and size >= BLOCK:
-                    yield answer(held, row)
+                    yield from answer(held, row)
                     held, size = [], 0
                 held.append(row)
                 size += len(row[3]) + EACH
         if held:  # a part ends with its guest, which has no answer of its own
-            yield answer(held, held[-1])
+            yield from answer(held, held[-1])
 
     schema = f"`{key}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return show_nulls(parts.mapInPandas(run, schema), key)

@@ -225,6 +225,14 @@ def test_a_key_of_many_rows_is_cut_by_hash(spark):
     assert len(parts) > 20 and max(parts.values()) < 60
 
 
+def test_a_block_may_hold_a_guest_alone(spark):
+    texts = [f"{c} text of more than a block " * (minhash.BLOCK // 24) for c in "abc"]
+    assert min(map(len, texts)) >= minhash.BLOCK
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [(i, len(t), hashlib.sha256(minhash.edited(t, n).encode()).hexdigest()) for i, (t, n) in enumerate(zip(texts, texts[1:] + texts[:1]))]
+    assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in minhash.compare_with_next(df).collect()) == want
+
+
 def test_fingerprint_values():
     rng = random.Random(4)
     for text in ("", "one two", "a b c d e", prose(rng, 9), prose(rng, 40), prose(rng, 300), prose(rng, 5000)):
