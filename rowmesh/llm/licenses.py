@@ -98,23 +98,33 @@ def _made(notices: Templates | None, threshold: float) -> tuple[Collection, Coll
     return Collection(short, threshold), Collection([(n, b) for n, b in (*kept["headers"], *kept["texts"])])
 
 
-def within_reach(words: Column, made: Collection) -> Column:
-    """Whether the part of a unit's squared norm on terms of templates allows the threshold."""
+def within_reach(words: Column, known: Column, made: Collection) -> Column:
+    """Whether the part of a unit's squared norm on terms of templates allows the threshold. known: the terms of templates
+    among the words, once each. First with each other term counted once, which takes no pass over sorted words and holds
+    for every unit that the exact sums hold for; then exactly."""
     idf = F.create_map(*[F.lit(x) for pair in made.idf.items() for x in pair])
 
     def weight(n: Column) -> Column:
         return F.when(n > 0, (1 + F.log(n)) * (1 + F.log(n))).otherwise(F.lit(0.0))
 
     def add(a: Column, t: Column) -> Column:
-        known = F.try_element_at(idf, t)
-        w = F.coalesce(known, F.lit(made.unseen))
+        found = F.try_element_at(idf, t)
+        w = F.coalesce(found, F.lit(made.unseen))
         run = F.when(t == a["t"], a["run"]).otherwise(F.lit(0.0))
         more = w * w * (weight(run + 1) - weight(run))
-        return F.struct(t.alias("t"), (run + 1).alias("run"), (a["all"] + more).alias("all"), (a["part"] + F.when(known.isNotNull(), more).otherwise(F.lit(0.0))).alias("part"))
+        return F.struct(t.alias("t"), (run + 1).alias("run"), (a["all"] + more).alias("all"), (a["part"] + F.when(found.isNotNull(), more).otherwise(F.lit(0.0))).alias("part"))
 
+    def fits(a: Column) -> Column:
+        return a["part"] * F.lit(1 + 1e-9) >= F.lit(made.least) * a["all"]  # a hair's breadth for sums in another order
+
+    def count(t: Column) -> Column:
+        return (F.size(words) - F.size(F.array_remove(words, t))).cast("double")
+
+    others = F.size(F.array_distinct(words)) - F.size(known)
+    part = lambda a, t: a + weight(count(t)) * F.pow(F.coalesce(F.try_element_at(idf, t), F.lit(0.0)), F.lit(2.0))
+    roughly = F.aggregate(known, F.lit(0.0), part, lambda a: fits({"part": a, "all": a + F.lit(made.unseen**2) * others}))
     start = F.struct(F.lit("").alias("t"), F.lit(0.0).alias("run"), F.lit(0.0).alias("all"), F.lit(0.0).alias("part"))
-    # A hair's breadth for sums in another order.
-    return F.aggregate(F.array_sort(words), start, add, lambda a: a["part"] * F.lit(1 + 1e-9) >= F.lit(made.least) * a["all"])
+    return roughly & F.aggregate(F.sort_array(words), start, add, fits)
 
 
 def _clean(text: Column) -> Column:
@@ -131,9 +141,11 @@ def _units(text: Column) -> Column:
     return F.concat(F.transform(statements, unit(0)), F.filter(paragraphs, lambda p: F.instr(p["unit"], "\n") > 0), F.array(unit(2)(bare, F.lit(0))))
 
 
-def _similar(bags: DataFrame, made: Collection, threshold: float) -> DataFrame:
-    """(path, hash, kind, at, k, similarity) of the units (path, hash, kind, at, term), one row a term, that reach it."""
-    spark, unit = bags.sparkSession, ["path", "hash", "kind", "at"]
+def _similar(units: DataFrame, made: Collection, threshold: float) -> DataFrame:
+    """(path, hash, kind, at, k, similarity) of the units (path, hash, kind, at, words) that reach it. Units are shuffled
+    once, as arrays of words; all that follows groups by unit and needs no other shuffle."""
+    spark, unit = units.sparkSession, ["path", "hash", "kind", "at"]
+    bags = units.repartition(*unit).select(*unit, F.explode_outer("words").alias("term")).where("term is not null")
     idf = F.broadcast(spark.createDataFrame(list(made.idf.items()), "term string, idf double"))
     vectors = F.broadcast(spark.createDataFrame([(t, k, w, t not in ORDINARY) for k, v in enumerate(made.vectors) for t, w in v.items()], "term string, k int, w double, telling boolean"))
     counts = bags.groupBy(*unit, "term").agg(F.count("*").alias("n"))
@@ -152,12 +164,18 @@ def own_licenses(files: DataFrame, short: Collection, full: Collection, threshol
     # One row a text: rows that repeat path and text would only count their terms twice.
     marked = files.where(F.col("text").rlike(short.core_pattern()) | F.col("text").rlike(MARKS)).dropDuplicates(["path", "hash"])
     marked = cut(marked)
-    units = marked.where(F.col("text").rlike(short.core_pattern())).select("path", "hash", F.explode(_units(F.col("text"))).alias("u")).select("path", "hash", "u.*").where(F.col("unit").rlike(short.core_pattern()))
-    words = units.select("path", "hash", "kind", "at", _clean(F.col("unit")).alias("words"))
-    near = _similar(words.where(within_reach(F.col("words"), short)).select("path", "hash", "kind", "at", F.explode("words").alias("term")), short, threshold).withColumn("full", F.lit(0))
+    unit = ["path", "hash", "kind", "at"]
+    # explode_outer: of a plain explode Spark infers filters, and computes what is exploded once more for each of them.
+    units = lambda texts: texts.select("path", "hash", F.explode_outer(_units(F.col("text"))).alias("u")).select("path", "hash", "u.*")
+    words = units(marked.where(F.col("text").rlike(short.core_pattern()))).select(*unit, _clean(F.col("unit")).alias("words"))
+    words = words.withColumn("known", F.array_intersect("words", F.array(*[F.lit(t) for t in short.idf])))
+    # What two common terms, one of them a core term, and the reach ask for.
+    held = (F.size("known") > 1) & F.arrays_overlap("known", F.array(*[F.lit(t) for t in short.core])) & within_reach(F.col("words"), F.col("known"), short)
+    near_enough = words.select(*unit, F.explode_outer(F.when(held, F.array("words"))).alias("words")).where("words is not null")
+    near = _similar(near_enough, short, threshold).withColumn("full", F.lit(0))
     if full.names:
-        longer = marked.where(F.col("text").rlike(MARKS)).select("path", "hash", F.explode(_units(F.col("text"))).alias("u")).select("path", "hash", "u.*").where((F.col("kind") > 0) & F.col("unit").rlike(MARKS))
-        near = near.unionByName(_similar(longer.select("path", "hash", "kind", "at", F.explode(_clean(F.col("unit"))).alias("term")), full, threshold).withColumn("full", F.lit(1)))
+        longer = units(marked.where(F.col("text").rlike(MARKS))).where((F.col("kind") > 0) & F.col("unit").rlike(MARKS))
+        near = near.unionByName(_similar(longer.select(*unit, _clean(F.col("unit")).alias("words")), full, threshold).withColumn("full", F.lit(1)))
     key = F.struct("similarity", (-F.col("full")).alias("full"), (-F.col("kind")).alias("kind"), (-F.col("at")).alias("at"), (-F.col("k")).alias("k"))
     best = near.groupBy("path", "hash").agg(F.max(key).alias("b"), F.max(F.col("kind") == 2).alias("whole"))
     return best.select("path", "hash", "b.similarity", "whole", (-F.col("b.k")).alias("k"), (-F.col("b.full")).alias("full")).join(names, ["full", "k"]).drop("full", "k")

@@ -123,6 +123,14 @@ def test_every_term_of_a_statement_counts(spark):
     assert sorted(map(tuple, got)) == want and all(s is None for _, s in want[: len(prose)])
 
 
+def test_units_are_cut_into_words_once(spark):
+    files = spark.createDataFrame([("a", 1, "Released under the MIT License.\nMehr mit Text.")], "path string, hash long, text string")
+    own = licenses.own_licenses(files, *licenses._made(None, licenses.THRESHOLD), licenses.THRESHOLD)
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan and not [x for x in plan.splitlines() if "Filter" in x and "regexp_replace" in x]
+    assert [r["license"] for r in own.collect()] == ["MIT"]
+
+
 def test_license_scan_keeps_every_row(docs, rows):
     assert licenses.scan(docs, licenses.document_path()).count() == len(rows)
 
