@@ -33,9 +33,12 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder, without lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """The rows, written to the shared folder, without lineage. A checkpoint would keep the plan's estimated size, a product
+    over joins: in a loop over self-joins its digits double each round, until they fill the driver. A table's size is its
+    files', which are plain, so that what is small enough to be broadcast is so in memory too."""
+    path = scratch(df.sparkSession, "cut")
+    df.write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def repeat(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int, every: int = 3) -> DataFrame:

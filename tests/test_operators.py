@@ -215,3 +215,12 @@ def test_a_star_is_partitioned_without_the_driver(spark, monkeypatch):
     star = G.symmetrize(spark.range(1, 2400).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")))
     p = G.partition(G.vertices_of(star), star, 4, rounds=1)
     assert p.count() == 2400 and p.select("part").distinct().count() == 4
+
+
+def test_what_a_loop_keeps_of_a_plan_does_not_grow(spark):
+    from rowmesh.plans.iterate import cut
+
+    state = cut(spark.range(8))
+    for _ in range(6):
+        state = cut(state.join(state.withColumnRenamed("id", "other"), F.col("id") == F.col("other")).select("id"))
+    assert state.count() == 8 and int(str(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 20
