@@ -224,3 +224,39 @@ def test_what_a_loop_keeps_of_a_plan_does_not_grow(spark):
     for _ in range(6):
         state = cut(state.join(state.withColumnRenamed("id", "other"), F.col("id") == F.col("other")).select("id"))
     assert state.count() == 8 and int(str(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 20
+
+
+def test_a_block_of_ratings_is_visited_in_order_and_in_few_bytes():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    def run(n, rows, cols):
+        r = np.random.default_rng(5)
+        a, b, y = r.integers(0, rows, n) * 3, r.integers(0, cols, n) * 2, r.random(n)
+        u, v = r.random((rows, 4)), r.random((cols, 4))
+        kind = np.repeat([0, 1, 2], [rows, cols, n])
+        row, col = np.concatenate([np.arange(rows) * 3, np.zeros(cols, int), a]), np.concatenate([np.zeros(rows, int), np.arange(cols) * 2, b])
+        val, f = np.concatenate([np.zeros(rows + cols), y]), [*u, *v, *[None] * n]
+        batch = pa.RecordBatch.from_arrays([pa.array(kind), pa.array(row), pa.array(col), pa.array(val), pa.array(np.zeros(len(kind))), pa.array(f, pa.list_(pa.float64()))], ["kind", "row", "col", "val", "b", "f"])
+        return a, b, y, u, v, [batch.slice(i, 10_000) for i in range(0, len(kind), 10_000)]
+
+    a, b, y, u, v, batches = run(600, 30, 20)
+    ub, vb = np.zeros(30), np.zeros(20)
+    order = np.lexsort((y, b, a))
+    for i in order[np.random.default_rng((1, 0, 0)).permutation(600)]:  # one by one
+        p, q = a[i] // 3, b[i] // 2
+        e = y[i] - 0.5 - ub[p] - vb[q] - u[p] @ v[q]
+        ub[p] += 0.1 * (e - 0.02 * ub[p])
+        vb[q] += 0.1 * (e - 0.02 * vb[q])
+        u[p], v[q] = u[p] + 0.1 * (e * v[q] - 0.02 * u[p]), v[q] + 0.1 * (e * u[p] - 0.02 * v[q])
+    got = pa.Table.from_batches(L._stratum_step(0.5, 4, 0.1, 0.02, (1, 0, 0))(iter(batches)))
+    assert np.allclose(got["b"].to_numpy(), [*ub, *vb], rtol=0, atol=1e-12) and np.allclose(np.stack(got["f"].to_pylist()), [*u, *v], rtol=0, atol=1e-12)
+
+    *_, batches = run(400_000, 20_000, 20_000)
+    tracemalloc.start()
+    list(L._stratum_step(0.5, 4, 0.1, 0.02, (1, 0, 0))(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70 * 400_000
