@@ -5,9 +5,12 @@ Everything is joins on vertex ids and aggregations by vertex; loops write their
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowmesh.operators.sorting import global_rank
 from rowmesh.plans.iterate import cut, fixpoint
 
 
@@ -112,8 +115,6 @@ def rebase(arcs: DataFrame, shift: int) -> DataFrame:
 def induce(vertices: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The subgraph of the given vertices: (id, new) numbered densely from 0 by id, and its arcs under the new numbers.
     Numbers come from range-partitioned ranks, not from one window."""
-    from rowmesh.operators.sorting import global_rank
-
     named = cut(global_rank(vertices.select("id").distinct(), "id", into="new"))
     one = arcs.join(named.select(F.col("id").alias("src"), F.col("new").alias("s")), "src")
     both = one.join(named.select(F.col("id").alias("dst"), F.col("new").alias("d")), "dst")
@@ -334,10 +335,10 @@ def remap_metrics(vertices: DataFrame, old: DataFrame, new: DataFrame, distance:
 def partition(vertices: DataFrame, arcs: DataFrame, k: int, imbalance: float = 0.05, fixed: DataFrame | None = None, rounds: int = 6) -> DataFrame:
     """(id, part): a balanced edge-cut partition in k parts.
 
-    Multilevel: heavy-edge matching and contraction until few vertices are left; these are placed one by one, heaviest
-    first, where most load connects among parts with room; then projected back level by level, each time with rounds of
-    greedy boundary moves that never lift a part over its bound. The coarsest level is bounded (a few thousand vertices,
-    or where coarsening stalls), which is what reaches the driver. Fixed vertices (id, part) keep their part.
+    Multilevel: matching and contraction until no more than PLACED vertices, or 20 a part, are left, whatever the graph;
+    these are placed one by one, heaviest first, where most load connects among parts with room; then projected back level
+    by level, each time with rounds of greedy boundary moves that never lift a part over its bound. Only the coarsest level
+    reaches the driver. Fixed vertices (id, part) keep their part; those of one part are contracted first.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -346,35 +347,50 @@ def partition(vertices: DataFrame, arcs: DataFrame, k: int, imbalance: float = 0
     pinned = fixed.select("id", "part") if fixed is not None else None
     total = v.agg(F.sum("load")).first()[0] or 0
     bound = max(total / k * (1 + imbalance), v.agg(F.max("load")).first()[0] or 0)
+    few = max(20 * k, PLACED)
     levels, n = [], v.count()
     free_v, free_a = v, a
-    while n > max(20 * k, 2000):
-        loose = free_v if pinned is None else free_v.join(pinned, "id", "left_anti")
-        groups = match_heavy(_among(free_a, loose), free_v)
-        groups = cut(groups.select("id", F.least("id", "mate").alias("group")))
+    while n > few:
+        groups = cut(_halve(free_v, free_a, 3 * total / few, pinned))
         cv, ca = coarsen(free_v, free_a, groups)
-        cv, ca = cut(cv), cut(ca)
-        m = cv.count()
-        if m > 0.9 * n:
-            break
         levels.append((free_v, free_a, groups))
-        free_v, free_a, n = cv, ca, m
-    # Matching may stall on a large graph (a star has one pair): then parts start from ranges of a hash, and only move.
-    where = _place(free_v, free_a, k, bound, pinned) if n <= PLACED else _scatter(free_v, k, pinned)
-    parts = _refine(free_v, free_a, where, k, bound, rounds, pinned)
+        free_v, free_a = cut(cv), cut(ca)
+        n = free_v.count()
+    parts = _refine(free_v, free_a, _place(free_v, free_a, k, bound, pinned), k, bound, rounds, pinned)
     for lv, la, groups in reversed(levels):
         parts = cut(groups.join(parts.withColumnRenamed("id", "group"), "group").select("id", "part"))
         parts = _refine(lv, la, parts, k, bound, rounds, pinned)
     return parts
 
 
-#: Vertices of a coarsest graph that the driver may hold.
-PLACED = 100_000
-
-
-def _scatter(v: DataFrame, k: int, pinned: DataFrame | None) -> DataFrame:
-    parts = v.select("id", F.pmod(F.xxhash64("id"), F.lit(k)).cast("int").alias("part"))
-    return parts if pinned is None else parts.join(pinned.withColumnRenamed("part", "p"), "id", "left").select("id", F.coalesce(F.col("p").cast("int"), "part").alias("part"))
+#: Vertices of a coarsest graph, which the driver places; its arcs are at most their pairs.
+PLACED = 1_000
+
+
+def _halve(v: DataFrame, a: DataFrame, most: float, pinned: DataFrame | None) -> DataFrame:
+    """(id, group) of one level. Vertices whose pairs hold at most a load of ``most`` are matched; those that found no mate (a
+    star has one pair) are paired in the order of their heaviest neighbour, so that leaves of one hub meet. So all but one of
+    them have a mate, and heavier ones are few: total / most * 2 at most."""
+    light = v.where(F.col("load") * 2 <= most).select("id")
+    held = None
+    if pinned is not None:
+        light = light.join(pinned, "id", "left_anti")
+        held = pinned.join(v.select("id"), "id", "left_semi").groupBy("id").agg(F.min("part").alias("part"))
+        least = held.groupBy("part").agg(F.min("id").alias("group"))
+        held = held.join(F.broadcast(least), "part").select("id", "group")
+    light = cut(light)
+    mates = cut(match_heavy(_among(a, light), light))
+    alone = mates.where("id = mate").select("id")
+    by = a.join(alone.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("src").alias("id")).agg(F.max(F.struct("load", (-F.col("dst")).alias("d"))).alias("m"))
+    placed = cut(global_rank(alone.join(by, "id", "left").select("id", (-F.col("m.d")).alias("near")), "near", "id"))
+    pair = F.floor(F.col("pos") / 2)
+    heads = placed.where("pos % 2 = 0").select(pair.alias("pair"), F.col("id").alias("head"))
+    tails = placed.select(pair.alias("pair"), "id")
+    paired = tails.join(heads, "pair").select("id", F.col("head").alias("group"))
+    groups = mates.where("id <> mate").select("id", F.least("id", "mate").alias("group")).unionByName(paired)
+    if held is not None:
+        groups = groups.unionByName(held)
+    return v.select("id").join(groups, "id", "left").select("id", F.coalesce("group", "id").alias("group"))
 
 
 def _among(arcs: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -386,22 +402,18 @@ def _place(v: DataFrame, a: DataFrame, k: int, bound: float, pinned: DataFrame |
     """The coarsest graph on the driver: heaviest first, the part of most connection that has room, else the lightest."""
     loads = {r["id"]: r["load"] for r in v.collect()}
     near: dict[int, list[tuple[int, int]]] = {}
-    for r in a.collect():
-        near.setdefault(r["src"], []).append((r["dst"], r["load"]))
-    part = {r["id"]: r["part"] for r in pinned.collect()} if pinned is not None else {}
-    part = {i: p for i, p in part.items() if i in loads}
+    found = a.select("src", "dst", "load").toArrow()
+    for i, j, w in zip(*(found.column(c).to_numpy().tolist() for c in ("src", "dst", "load"))):
+        near.setdefault(i, []).append((j, w))
+    part = {r["id"]: r["part"] for r in pinned.join(v, "id", "left_semi").collect()} if pinned is not None else {}
     fill = [0] * k
     for i, p in part.items():
         fill[p] += loads[i]
-    order = sorted(loads, key=lambda i: (-loads[i], i))
-    queue, done = list(order), set(part)
-    while queue:
-        start = next((i for i in queue if i not in done), None)
-        if start is None:
-            break
-        frontier = [start]
+    done = set(part)
+    for start in sorted(loads, key=lambda i: (-loads[i], i)):
+        frontier = deque([start])
         while frontier:  # regions grow breadth-first, so that parts are connected
-            i = frontier.pop(0)
+            i = frontier.popleft()
             if i in done:
                 continue
             pull = [0] * k
@@ -415,8 +427,7 @@ def _place(v: DataFrame, a: DataFrame, k: int, bound: float, pinned: DataFrame |
             part[i] = best
             fill[best] += loads[i]
             done.add(i)
-            frontier += [j for j, _ in sorted(near.get(i, ()), key=lambda x: (-x[1], x[0])) if j not in done]
-        queue = [i for i in queue if i not in done]
+            frontier.extend(j for j, _ in sorted(near.get(i, ()), key=lambda x: (-x[1], x[0])) if j not in done)
     return v.sparkSession.createDataFrame(list(part.items()), "id long, part int")
 
 

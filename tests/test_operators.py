@@ -260,3 +260,17 @@ def test_a_block_of_ratings_is_visited_in_order_and_in_few_bytes():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 70 * 400_000
+
+
+def test_every_graph_is_coarsened_until_few_vertices_are_left(spark, monkeypatch):
+    met = []
+    place = G._place
+    monkeypatch.setattr(G, "PLACED", 90)
+    monkeypatch.setattr(G, "_place", lambda v, *rest: met.append(v.count()) or place(v, *rest))
+    star = G.symmetrize(spark.range(1, 500).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")))
+    fixed = spark.range(1, 300).select("id", (F.col("id") % 4).cast("int").alias("part"))
+    p = G.partition(G.vertices_of(star), star, 4, fixed=fixed, rounds=1)
+    loads = {r["part"]: r["load"] for r in G.part_loads(G.vertices_of(star), p).collect()}
+    assert met and max(met) <= 90  # not a scattering by hash, and not the whole graph
+    assert sum(loads.values()) == 500 and max(loads.values()) <= 500 / 4 * 1.05 + 1
+    assert p.join(fixed, ["id", "part"]).count() == 299
