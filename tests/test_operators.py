@@ -274,3 +274,23 @@ def test_every_graph_is_coarsened_until_few_vertices_are_left(spark, monkeypatch
     assert met and max(met) <= 90  # not a scattering by hash, and not the whole graph
     assert sum(loads.values()) == 500 and max(loads.values()) <= 500 / 4 * 1.05 + 1
     assert p.join(fixed, ["id", "part"]).count() == 299
+
+
+def test_a_round_of_pagerank_moves_no_arcs(spark):
+    links = spark.range(3000).select((F.col("id") % 70).alias("src"), (F.col("id") % 41).alias("dst"))
+    with G.by_source(links) as held:
+        plan = held.join(spark.range(70).withColumnRenamed("id", "src").hint("shuffle_hash"), "src")
+        assert plan.count() == 3000
+        shown = plan._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("ENSURE_REQUIREMENTS") == 1  # the other side's
+
+
+def test_the_last_residual_takes_one_run(spark, monkeypatch):
+    from rowmesh import catalogue
+
+    runs = []
+    ranks = G._ranks
+    monkeypatch.setattr(G, "_ranks", lambda *a, **o: runs.append(a[2]) or ranks(*a, **o))
+    got = catalogue.QUERIES["pagerank_residual"](spark, "/root/testdata/sf0.001").first()[0]
+    a = catalogue.bipartite(spark, "/root/testdata/sf0.001")
+    assert runs == [5] and abs(got - G.residual(G.pagerank(a, G.vertices_of(a), 4), G.pagerank(a, G.vertices_of(a), 5))) < 1e-9
