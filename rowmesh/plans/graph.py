@@ -152,10 +152,26 @@ def halo(arcs: DataFrame, attr: DataFrame, value: str, agg=F.sum) -> DataFrame:
     return arcs.join(attr.select(F.col("id").alias("dst"), value), "dst").groupBy(F.col("src").alias("id")).agg(agg(value).alias(value))
 
 
+#: Rows of a partition, about, where rows are met in memory.
+MET = 1_000_000
+
+
+def _shares(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """Shuffled by columns, into as many partitions as keep one at MET rows or so."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / MET)), *by)
+
+
 def mesh_dual(mesh: DataFrame) -> DataFrame:
-    """Arcs between distinct nodes that share an element; mesh: (elem, node)."""
-    m = mesh.select("elem", "node").distinct()
-    return m.withColumnRenamed("node", "src").join(m.withColumnRenamed("node", "dst"), "elem").where("src <> dst").select("src", "dst").distinct()
+    """Arcs between distinct nodes that share an element; mesh: (elem, node). The number of partitions follows the number of
+    rows and of pairs, so a task's memory doesn't grow with them; a pair moves once, not once a direction."""
+    m = mesh.select("elem", "node").where("elem is not null and node is not null")
+    m = cut(_shares(m, m.count(), "elem").distinct())
+    pairs = m.groupBy("elem").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    m = _shares(m, m.count(), "elem")
+    both = m.withColumnRenamed("node", "u").join(m.withColumnRenamed("node", "v"), "elem").where("u < v").select("u", "v")
+    met = _shares(both, int(pairs), "u", "v").distinct()
+    ends = F.explode(F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst"))))
+    return met.select(ends.alias("e")).select("e.src", "e.dst")
 
 
 # --- growth ----------------------------------------------------------------------------------------------------------
@@ -183,19 +199,35 @@ def band(arcs: DataFrame, frontier: DataFrame, distance: int) -> tuple[DataFrame
 
 def eccentricity(arcs: DataFrame, start: int, most: int = 1 << 20) -> tuple[int, int]:
     """(distance, id): how far the farthest reachable vertex is, and the least such vertex."""
-    seeds = arcs.sparkSession.createDataFrame([(start, 0)], "id long, color int")
-    far = grow(arcs, seeds, most).agg(F.max(F.struct("level", (-F.col("id")).alias("i"))).alias("m")).first()["m"]
+    with by_source(arcs.select("src", "dst")) as held:
+        return _farthest(held, start, most)
+
+
+def _farthest(held: DataFrame, start: int, most: int = 1 << 20) -> tuple[int, int]:
+    """As eccentricity(), over arcs held by source. All vertices met are one table, which each round writes anew; a round moves
+    the last front and what it reaches."""
+    seen = cut(held.sparkSession.createDataFrame([(start, 0)], "id long, level int"))
+    for level in range(1, most + 1):
+        front = seen.where(F.col("level") == level - 1).select(F.col("id").alias("src")).hint("shuffle_hash")
+        reached = held.join(front, "src").select(F.col("dst").alias("id")).distinct().withColumn("level", F.lit(level))
+        new = cut(seen.unionByName(reached).groupBy("id").agg(F.min("level").alias("level")))
+        if new.where(F.col("level") == level).isEmpty():
+            break
+        seen = new
+    far = seen.agg(F.max(F.struct("level", (-F.col("id")).alias("i"))).alias("m")).first()["m"]
     return far["level"], -far["i"]
 
 
 def pseudo_diameter(arcs: DataFrame, start: int) -> int:
-    """Double sweeps from the farthest vertex until the distance no longer grows: a lower bound of the diameter."""
-    best, at = eccentricity(arcs, start)
-    while True:
-        d, at = eccentricity(arcs, at)
-        if d <= best:
-            return best
-        best = d
+    """Double sweeps from the farthest vertex until the distance no longer grows: a lower bound of the diameter. The arcs are
+    shuffled once for all sweeps."""
+    with by_source(arcs.select("src", "dst")) as held:
+        best, at = _farthest(held, start)
+        while True:
+            d, at = _farthest(held, at)
+            if d <= best:
+                return best
+            best = d
 
 
 def part_diameters(arcs: DataFrame, parts: DataFrame) -> DataFrame:

@@ -294,3 +294,25 @@ def test_the_last_residual_takes_one_run(spark, monkeypatch):
     got = catalogue.QUERIES["pagerank_residual"](spark, "/root/testdata/sf0.001").first()[0]
     a = catalogue.bipartite(spark, "/root/testdata/sf0.001")
     assert runs == [5] and abs(got - G.residual(G.pagerank(a, G.vertices_of(a), 4), G.pagerank(a, G.vertices_of(a), 5))) < 1e-9
+
+
+def test_a_mesh_of_many_pairs_takes_more_partitions(spark, monkeypatch):
+    monkeypatch.setattr(G, "MET", 100)
+    mesh = spark.range(600).select((F.col("id") % 60).alias("elem"), (F.col("id") * 7 % 50).alias("node"))
+    nodes = {}
+    for r in mesh.collect():
+        nodes.setdefault(r["elem"], set()).add(r["node"])
+    want = sorted({(x, y) for n in nodes.values() for x in n for y in n if x != y})
+    dual = G.mesh_dual(mesh)
+    pairs = sum(len(n) * (len(n) - 1) // 2 for n in nodes.values())
+    assert sorted(map(tuple, dual.collect())) == want
+    assert pairs >= 600 and "hashpartitioning(u#" in dual._jdf.queryExecution().executedPlan().toString() and dual.rdd.getNumPartitions() >= pairs // 100
+
+
+def test_a_sweep_of_arcs_shuffles_them_once(spark, monkeypatch):
+    held = []
+    keep = G.by_source
+    monkeypatch.setattr(G, "by_source", lambda a: held.append(1) or keep(a))
+    ring = G.symmetrize(spark.range(14).select(F.col("id").alias("src"), ((F.col("id") + 1) % 15).alias("dst")))  # a path of 15
+    assert G.pseudo_diameter(ring, 6) == 14 and held == [1]
+    assert G.eccentricity(ring, 6) == (8, 14) and G.eccentricity(ring, 7) == (7, 0) and G.eccentricity(ring, 6, 2) == (2, 4)
