@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowmesh.plans.graph import ARCS, by_source
 from rowmesh.plans.iterate import cut
 
 #: 2654435761-style multiplicative mixing that stays below 2**63, so that any SQL engine computes the same.
@@ -46,31 +48,54 @@ def estimate(sk: DataFrame, by: list[str], bits: int = 4) -> DataFrame:
     return sk.groupBy(*by).agg((F.lit(m * m * 0.72134) / (F.sum(F.pow(F.lit(2.0), -F.col("val"))) + (m - F.count("*")))).alias("size"))
 
 
+def _packed(registers: list[Column]) -> list[Column]:
+    """Registers, a byte each, eight to a long."""
+    out = []
+    for at in range(0, len(registers), 8):
+        word = F.lit(0).cast("long")
+        for i, r in enumerate(registers[at : at + 8]):
+            word = word.bitwiseOR(F.shiftleft(r.cast("long"), 8 * i))
+        out.append(word.alias(f"p{at // 8}"))
+    return out
+
+
+def _register_of(i: int) -> Column:
+    return F.shiftright(f"p{i // 8}", 8 * (i % 8)).bitwiseAND(F.lit(255).cast("long")).cast("int")
+
+
 def hyper_anf(arcs: DataFrame, vertices: DataFrame, rounds: int | None, bits: int = 4) -> DataFrame:
     """(t, n): the neighbourhood function, estimated pairs within distance t, until nothing changes or rounds end; rounds
-    None: no limit. A vertex's registers are columns of one row, so a round moves one row an arc."""
+    None: no limit. A vertex's registers are bytes of a few longs, so a round moves one short row an arc, and only from
+    vertices whose registers changed in the round before: their neighbours have the others' already."""
     m = 1 << bits
     names = [f"r{i}" for i in range(m)]
+    words = [f"p{i}" for i in range((m + 7) // 8)]
     h = hash31(F.col("id"))
     reg, val = register(h, bits), rho(h, bits)
-    state = cut(vertices.select("id", *[F.when(reg == i, val).otherwise(F.lit(0)).alias(n) for i, n in enumerate(names)]))
     total = lambda of: F.aggregate(F.array(*map(of, names)), F.lit(0.0), lambda s, x: s + x)
     size = F.lit(m * m * 0.72134) / total(lambda n: F.pow(F.lit(2.0), -F.col(n)))
-
-    def look(df: DataFrame) -> tuple[float, float]:
-        """Estimated pairs, and the sum of all registers: these only grow, so an equal sum means that none changed."""
-        return tuple(df.agg(F.coalesce(F.sum(size), F.lit(0.0)), F.coalesce(F.sum(total(lambda n: F.col(n).cast("double"))), F.lit(0.0))).first())
-
-    seen = look(state)
-    sizes = [seen[0]]
-    for _ in itertools.count() if rounds is None else range(rounds):
-        near = arcs.join(state.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), *names)
-        new = cut(state.unionByName(near).groupBy("id").agg(*[F.max(n).alias(n) for n in names]))
-        now = look(new)
-        if now[1] == seen[1]:
-            break
-        state, seen = new, now
-        sizes.append(now[0])
+    load = total(lambda n: F.col(n).cast("double"))
+
+    def keep(df: DataFrame) -> DataFrame:
+        """(id, words, size, load, grew) of (id, registers, was); load is the registers' sum, which only grows."""
+        return cut(df.select("id", *_packed([F.col(n) for n in names]), size.alias("size"), load.alias("load"), (load > F.col("was")).alias("grew")))
+
+    def pairs(df: DataFrame) -> float:
+        return df.agg(F.coalesce(F.sum("size"), F.lit(0.0))).first()[0]
+
+    state = keep(vertices.select("id", *[F.when(reg == i, val).otherwise(F.lit(0)).alias(n) for i, n in enumerate(names)], F.lit(-1.0).alias("was")))
+    sizes = [pairs(state)]
+    with by_source(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) as back:
+        parts = max(int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(4 * back.count() / ARCS))
+        for _ in itertools.count() if rounds is None else range(rounds):
+            front = state.where("grew").select(F.col("id").alias("src"), *words).hint("shuffle_hash")
+            near = back.join(front, "src").select(F.col("dst").alias("id"), *words, F.lit(0.0).alias("was"))
+            met = state.select("id", *words, F.col("load").alias("was")).unionByName(near).repartition(parts, "id")  # packed as they move
+            new = keep(met.select("id", "was", *[_register_of(i).alias(n) for i, n in enumerate(names)]).groupBy("id").agg(*[F.max(n).alias(n) for n in names], F.max("was").alias("was")))
+            if new.where("grew").isEmpty():
+                break
+            state = new
+            sizes.append(pairs(state))
     return arcs.sparkSession.createDataFrame([(t, float(n)) for t, n in enumerate(sizes)], "t int, n double")
 
 

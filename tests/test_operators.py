@@ -316,3 +316,16 @@ def test_a_sweep_of_arcs_shuffles_them_once(spark, monkeypatch):
     ring = G.symmetrize(spark.range(14).select(F.col("id").alias("src"), ((F.col("id") + 1) % 15).alias("dst")))  # a path of 15
     assert G.pseudo_diameter(ring, 6) == 14 and held == [1]
     assert G.eccentricity(ring, 6) == (8, 14) and G.eccentricity(ring, 7) == (7, 0) and G.eccentricity(ring, 6, 2) == (2, 4)
+
+
+def test_registers_move_packed(spark, monkeypatch):
+    kept = []
+    cut = hll.cut
+    monkeypatch.setattr(hll, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    path = G.symmetrize(spark.range(5).select("id", F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
+    anf = [r["n"] for r in hll.hyper_anf(path, G.vertices_of(path), None, 6).orderBy("t").collect()]
+    assert len(anf) == 6 and anf == sorted(anf)  # the path's diameter is 5
+    assert all(len(df.columns) <= 12 for df in kept)  # 64 registers
+    assert {df.where("grew").count() for df in kept[-1:]} == {0}
+    packed = spark.range(1).select(*[F.lit(i % 33).alias(f"r{i}") for i in range(64)]).select(*hll._packed([F.col(f"r{i}") for i in range(64)]))
+    assert list(packed.select(*[hll._register_of(i) for i in range(64)]).first()) == [i % 33 for i in range(64)]
